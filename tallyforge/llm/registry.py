@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import flac, html_text, langid, warc
+from . import decontaminate, flac, html_text, langid, line_dedup, lm, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": langid.op6_language_id,
     "op8_flac": flac.op8_flac,
+    "op9_lm_score": lm.op9_lm_score,
     "op10_html_text": html_text.op10_html_text,
 }
 
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
 }

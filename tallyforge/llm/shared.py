@@ -8,7 +8,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: An Arrow batch is cut into pieces of about this many bytes of text, so a task's Python memory is bounded by it and by its longest text.
@@ -78,34 +77,49 @@ SPACED = _table((0x20, *range(0x09, 0x0E)))
 ALNUM = _table((*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
-def split_rows(rows: list, table: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Lower-cased (A-Z) words of all rows in order, and the index of each row's first word (one more entry at the end)."""
-    joined = b"\n".join(rows) + b"\n"
-    plain = joined.translate(table)
-    words = plain.split()
-    inside = np.frombuffer(plain, np.uint8) != 0x20
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(first)
-    ends = np.cumsum([len(r) + 1 for r in rows], dtype=np.int64)
-    return words, np.concatenate(([0], np.searchsorted(starts, ends, "left"))).astype(np.int64)
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; cleared when it holds `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The lower-cased (A-Z) words of many rows, in order; `firsts` has the number of each row's first word, and their count."""
+
+    def __init__(self, rows: list, table: bytes):
+        self.plain = np.frombuffer((b"\n".join(rows) + b"\n").translate(table), np.uint8)
+        self.inside = self.plain != 0x20
+        change = np.flatnonzero(self.inside[1:] != self.inside[:-1]) + 1
+        if self.inside[0]:
+            change = np.concatenate(([0], change))
+        self.starts, self.ends = change[::2], change[1::2]
+        behind = np.cumsum([len(r) + 1 for r in rows], dtype=np.int64)
+        self.firsts = np.concatenate(([0], np.searchsorted(self.starts, behind, "left"))).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.diff(self.firsts)
+
+    def owners(self) -> np.ndarray:
+        """The row of each word."""
+        return np.repeat(np.arange(len(self.firsts) - 1), self.counts)
+
+    def array(self) -> pa.Array:
+        offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
+        if offsets[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.plain[self.inside])])
+        return pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(self.plain[self.inside])])
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes: a polynomial over random values of the bytes, finished; equal everywhere for equal words."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        sizes = self.ends - self.starts
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+        powers = np.cumprod(np.full(int(sizes.max()), _FACTOR, np.uint64))
+        return mixed(np.add.reduceat(_BYTES[self.plain[self.inside]] * powers[place], begin) + sizes.astype(np.uint64))
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

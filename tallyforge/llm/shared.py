@@ -43,7 +43,7 @@ def byte_rows(column: pa.Array) -> list[memoryview | bytes]:
     wide = np.int64 if flat_type(column.type) else np.int32
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, wide)[column.offset : column.offset + n + 1].tolist()
-    view = memoryview(data) if data is not None else memoryview(b"")
+    view = memoryview(data).cast("B") if data is not None else memoryview(b"")
     rows = [view[a:b] for a, b in zip(at, at[1:])]
     if column.null_count:
         rows = [r if ok else b"" for r, ok in zip(rows, column.is_valid().to_pylist())]

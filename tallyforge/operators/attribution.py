@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .common import CONTEXT, before, by_path, flag, or0, running
+from .common import context, before, by_path, flag, or0, running
 
 REBUILD_TOKENS, REBUILD_SHARE, RESET_SHARE = 2000, 0.1, 0.05
 HOUR, MINUTES = 3600, 300
@@ -58,7 +58,7 @@ def call_states(costed: DataFrame, new: DataFrame, markers: DataFrame) -> DataFr
     c = costed.join(sums, ["path", "idx"], "left").join(marks, ["path", "idx"], "left")
     thread = Window.partitionBy("path")
     pw = F.when(or0("cc5") + or0("cc1") > 0, (F.col("cc5") * or0("p_w5") + F.col("cc1") * or0("p_w1")) / (F.col("cc5") + F.col("cc1"))).otherwise(or0("p_w5"))
-    c = c.withColumns({"ctx": CONTEXT.cast("double"), "w": F.when(F.col("copied"), 0.0).otherwise(1.0), "S": F.coalesce("new_tokens", F.lit(0.0)), "marker": F.coalesce(F.col("marker") == 1, F.lit(False)), "pw": pw, "n": F.count(F.lit(1)).over(thread)})
+    c = c.withColumns({"ctx": context().cast("double"), "w": F.when(F.col("copied"), 0.0).otherwise(1.0), "S": F.coalesce("new_tokens", F.lit(0.0)), "marker": F.coalesce(F.col("marker") == 1, F.lit(False)), "pw": pw, "n": F.count(F.lit(1)).over(thread)})
     c = c.withColumns({"ttl": F.when(F.sum("cc1").over(thread) > F.sum("cc5").over(thread), HOUR).otherwise(MINUTES), "prev_ctx": F.coalesce(before("ctx", "idx"), F.lit(0.0)), "prev_model": before("model", "idx"), "prev_ts": before("ts", "idx"), "prev_iters": before("iters", "idx")})
     delta = F.col("ctx") - F.col("prev_ctx")
     c = c.withColumn("tail", F.when((F.col("idx") == 0) | F.col("marker"), F.col("ctx")).otherwise(F.when(delta >= 0, delta).otherwise(F.least("S", "ctx"))))

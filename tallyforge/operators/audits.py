@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from .common import CONTEXT, before, by_path, flag, or0, running
+from .common import context, before, by_path, flag, or0, running
 
 LISTINGS = {"skill_listing": "Skill", "deferred_tools_delta": "ToolSearch", "mcp_instructions_delta": "mcp"}
 AGENTS = ("subagent", "workflow_agent")
@@ -21,7 +21,7 @@ THRESHOLDS, CAP, NEED_RATE = (10_000, 25_000, 50_000), 10_000, 0.65
 
 def boot_threads(costed: DataFrame, items: DataFrame, uses: DataFrame) -> DataFrame:
     """A row for each agent thread whose first call is billed: boot, harness, listing, task and growth tokens, and their dollars."""
-    c = costed.where(F.col("kind").isin(*AGENTS)).withColumn("ctx", CONTEXT)
+    c = costed.where(F.col("kind").isin(*AGENTS)).withColumn("ctx", context())
     first = c.where("idx = 0 and not copied").select("path", "kind", F.col("ctx").alias("boot"), F.col("model").alias("first_model"))
     at_boot = items.where("entry = 0 and item not in ('assistant_out', 'compact_marker')").join(first, "path")
     est = F.col("chars") / L.chars_per_token(F.col("first_model")) + F.col("img_tok")
@@ -72,7 +72,7 @@ def _pings(context) -> dict:
 def idle_gaps(costed: DataFrame) -> DataFrame:
     """Idle gaps longer than the ping interval, with what pings and rebuilds cost at the prices of the call behind them."""
     thread = Window.partitionBy("path")
-    c = costed.withColumn("ctx", CONTEXT).withColumn("hour", F.sum("cc1").over(thread) > F.sum("cc5").over(thread))
+    c = costed.withColumn("ctx", context()).withColumn("hour", F.sum("cc1").over(thread) > F.sum("cc5").over(thread))
     c = c.withColumns({"ttl": F.when(F.col("hour"), 3600).otherwise(300), "prev_ts": before("ts", "idx"), "prev_model": before("model", "idx"), "prev_iters": before("iters", "idx"), "P": before("ctx", "idx")})
     c = c.withColumns({"every": F.col("ttl") - MARGIN, "gap": F.col("ts") - F.col("prev_ts")})
     g = c.where("idx > 0 and not copied and gap is not null and gap > every and model <=> prev_model and p_in is not null").where(F.coalesce(F.size("prev_iters"), F.lit(0)) <= 0)
@@ -97,7 +97,7 @@ def keepalive_totals(gaps: DataFrame) -> DataFrame:
 def keepalive_tail(costed: DataFrame) -> DataFrame:
     """What the capped policy pays after the last call of each main thread."""
     thread = Window.partitionBy("path")
-    c = costed.withColumn("ctx", CONTEXT).withColumns({"hour": F.sum("cc1").over(thread) > F.sum("cc5").over(thread), "last": F.max("idx").over(thread)})
+    c = costed.withColumn("ctx", context()).withColumns({"hour": F.sum("cc1").over(thread) > F.sum("cc5").over(thread), "last": F.max("idx").over(thread)})
     ends = c.where("idx = last and kind = 'main' and not copied and p_in is not null").withColumns(_pings(F.col("ctx")))
     return ends.agg(F.count(F.lit(1)).alias("threads"), F.coalesce(F.sum(F.col("cap") * F.col("ping")), F.lit(0.0)).alias("pings"))
 

@@ -26,5 +26,6 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("bigint")
 
 
-#: The context of a vendor-A call: all its input tokens.
-CONTEXT = or0("inp") + or0("cc") + or0("cr")
+# The context of a vendor-A call: all its input tokens.
+def context() -> Column:
+    return or0("inp") + or0("cc") + or0("cr")

@@ -108,10 +108,9 @@ def tools(events: DataFrame) -> DataFrame:
     placed = spans.select("path", F.col("at").alias("open_pos"), "place", "call_key").join(until, ["path", "open_pos"], "left")
     closes = F.max("close_pos").over(Window.partitionBy("path", "call_key", "place"))
     placed = placed.withColumn("close_pos", F.coalesce(closes, F.lit(1 << 60)))
-    latest = F.max("open_pos").over(Window.partitionBy("path", "call_key", "place"))
-    spans = placed.withColumn("holder", latest).groupBy("path", "place", "close_pos").agg(F.max("holder").alias("holder"), F.collect_list("open_pos").alias("_"))
+    spans = placed.select("path", "place", "close_pos").distinct()
     commands = made.where("tag = 'cmd'").select("path", F.col("pos").alias("at"), F.col("kind"), F.col("chars").alias("agg"))
-    met = commands.join(spans, (commands["path"] == spans["path"]) & (F.col("place") < F.col("at")) & (F.col("at") < F.col("close_pos"))).drop(spans["path"])
+    met = commands.join(spans.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("place") < F.col("at")) & (F.col("at") < F.col("close_pos")))
     owned = met.groupBy("path", "at", "kind", "agg").agg(F.max_by(F.struct("place", "close_pos"), "place").alias("x")).select("path", "at", "kind", "agg", F.col("x.close_pos").alias("pos"))
     listed = owned.groupBy("path", "pos").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "agg"))).alias("commands"))
     answered = answered.join(listed, ["path", "pos"], "left")

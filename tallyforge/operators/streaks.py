@@ -45,17 +45,16 @@ def prompts(rows: DataFrame) -> DataFrame:
 
 
 def copies(found: DataFrame) -> DataFrame:
-    """prompts with `session` (by last record, oldest first), the effective key, and whether each is a copy.
+    """prompts with `session` (a sort key: by last record, oldest first), the effective key, and whether each is a copy.
 
     A uuid seen before makes a copy with the key of its first record; so does, between sessions, a key seen in an older one."""
-    order = Window.orderBy(F.col("last").isNull(), "last", "path")
-    sessions = found.select("path", "last").distinct().withColumn("session", F.row_number().over(order))
-    p = found.join(sessions.select("path", "session"), "path")
-    by_uuid = Window.partitionBy("uuid").orderBy("session", "idx")
-    again = F.col("uuid").isNotNull() & (F.row_number().over(by_uuid) > 1)
+    session = F.struct(F.col("last").isNull().alias("none"), F.col("last").alias("last"), F.col("path").alias("of"))
+    p = found.withColumn("session", session).withColumn("_u", F.coalesce("uuid", F.concat_ws("/", "path", F.col("idx").cast("string"), F.lit(""))))
+    by_uuid = Window.partitionBy("_u").orderBy("session", "idx")
+    again = F.row_number().over(by_uuid) > 1
     p = p.withColumns({"again": again, "key": F.when(again, F.first("key").over(by_uuid)).otherwise(F.col("key"))})
     older = F.min("session").over(Window.partitionBy("key")) < F.col("session")
-    return p.withColumn("copied", F.col("again") | older).drop("again")
+    return p.withColumn("copied", F.col("again") | older).drop("again", "_u")
 
 
 def unique_prompts(marked: DataFrame) -> DataFrame:
@@ -105,5 +104,6 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def key_rows(marked: DataFrame) -> DataFrame:
-    """(key, session, index) of the first occurrence of every counted key, in order."""
-    return unique_prompts(marked).select("key", "session", F.col("idx").alias("index")).orderBy("session", "index")
+    """(key, session, index) of the first occurrence of every counted key, in order; sessions with prompts are numbered from 1."""
+    order = marked.select("path", "session").distinct().withColumn("number", F.row_number().over(Window.orderBy("session")))
+    return unique_prompts(marked).join(order.select("path", "number"), "path").select("key", F.col("number").alias("session"), F.col("idx").alias("index")).orderBy("session", "index")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from .attribution import RESET_SHARE, SCHEMAS_LOADED
-from .common import CONTEXT, before, flag, or0, running
+from .common import context, before, flag, or0, running
 
 CALLS = ["path", "idx", "ctx", "wt", "read_price", "write_price", "out_price", "cw", "cr_sum"]
 ITEMS = ["path", "seq", "entry", "tokens", "death", "evictable"]
@@ -22,7 +22,7 @@ def timeline_a(costed: DataFrame, items: DataFrame, uses: DataFrame) -> tuple[Da
     """Tool results can be evicted; boot prefix, summaries, prompts and outputs cannot. A marker or a near-total reset ends all items."""
     thread = Window.partitionBy("path")
     hour = (or0("cc1") > or0("cc5")) | ((or0("cc1") == 0) & (or0("cc5") == 0) & (F.sum("cc1").over(thread) > F.sum("cc5").over(thread)))
-    c = costed.withColumns({"ctx": CONTEXT.cast("double"), "wt": F.when(F.col("copied"), 0).otherwise(1), "read_price": F.coalesce("p_read", F.lit(0.0)), "write_price": F.coalesce(F.when(hour, F.col("p_w1")).otherwise(F.col("p_w5")), F.lit(0.0)), "out_price": F.coalesce("p_out", F.lit(0.0)), "n": F.count(F.lit(1)).over(thread)})
+    c = costed.withColumns({"ctx": context().cast("double"), "wt": F.when(F.col("copied"), 0).otherwise(1), "read_price": F.coalesce("p_read", F.lit(0.0)), "write_price": F.coalesce(F.when(hour, F.col("p_w1")).otherwise(F.col("p_w5")), F.lit(0.0)), "out_price": F.coalesce("p_out", F.lit(0.0)), "n": F.count(F.lit(1)).over(thread)})
     at = costed.select("path", F.col("idx").alias("entry"), F.col("model").alias("entry_model"))
     given = items.where("item not in ('compact_marker', 'assistant_out')").join(at, ["path", "entry"]).join(uses, ["path", "use_id"], "left")
     can = (F.col("item") == "tool_result") & (L.result_category(F.col("used_tool"), F.col("used_bash")) != SCHEMAS_LOADED)

@@ -31,6 +31,7 @@ SIGN = "▁"
 REMEMBERED = 600_000
 SMALL = 24
 _M = (1 << 64) - 1
+_WIDE, _NONE = 1 << 26, 1 << 40
 
 
 class Encoder:
@@ -63,7 +64,14 @@ class Encoder:
             self.joined[raw[:-1], raw[1:]] = True
         self.limit = int(dropout * (1 << 53))
         self.seed, self.variants = seed, variants if dropout else 1
-        self.memory: dict[tuple[bytes, int], np.ndarray] = {}
+        self.memory: list[dict[bytes, bytes]] = [{} for _ in range(self.variants)]
+        # For cutting many units at once: symbols are the pieces and the characters in them; pairs are all that make a piece.
+        characters = {c for piece in self.scores for c in piece}
+        self.symbols = {x: k for k, x in enumerate([*self.scores, *sorted(characters - set(self.scores))])}
+        self.ids = np.array([self.scores[x][1] if x in self.scores else -1 for x in self.symbols], np.int32)
+        order = {v: k for k, v in enumerate(sorted({v for v, _ in self.scores.values()}, reverse=True))}
+        pairs = sorted((self.symbols[p[:k]] * _WIDE + self.symbols[p[k:]], order[v], self.symbols[p]) for p, (v, _) in self.scores.items() for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols)
+        self.pair_keys, self.pair_ranks, self.pair_made = (np.array(x, np.int64) for x in zip(*pairs))
 
     def key(self, unit: bytes, variant: int) -> int:
         return int.from_bytes(hashlib.blake2b(unit, digest_size=8, key=b"%d.%d" % (self.seed, variant)).digest(), "little")
@@ -73,20 +81,91 @@ class Encoder:
         h = ((h ^ h >> 32) * 0xC4CEB9FE1A85EC53) & _M
         return h >> 11 < self.limit
 
-    def cut(self, unit: bytes, variant: int) -> np.ndarray:
-        """The ids of one unit, in which blanks are blanks."""
-        found = self.memory.get((unit, variant))
-        if found is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            found = self.memory[unit, variant] = np.array(self.agenda(unit, variant), np.int32)
-        return found
+    def cuts(self, wanted: list[tuple[bytes, int]]) -> list[bytes]:
+        """The ids (as 32-bit numbers) of units, each with its variant; a blank in them is a blank."""
+        new = [(u, v) for u, v in wanted if u not in self.memory[v]]
+        if sum(map(len, self.memory)) + len(new) > REMEMBERED:
+            for m in self.memory:
+                m.clear()
+            new = wanted
+        sized: dict[int, list[tuple[bytes, int]]] = {}
+        for u, v in new:
+            sized.setdefault(next((n for n in (4, 8, 16, 32) if len(u) <= n), 0), []).append((u, v))
+        for wide, group in sized.items():
+            found = self._together(group, wide) if wide else [np.array(self.agenda(u, v), np.int32).tobytes() for u, v in group]
+            for (u, v), ids in zip(group, found):
+                self.memory[v][u] = ids
+        return [self.memory[v][u] for u, v in wanted]
+
+    def _together(self, units: list[tuple[bytes, int]], wide: int) -> list[bytes]:
+        """The agenda of many units in step: in each round, every unit makes its best merge that is not skipped."""
+        texts = [u.decode("utf-8", "surrogateescape").replace(SIGN, "\udfff").replace(" ", SIGN) for u, _ in units]
+        grid = np.full((len(units), wide), -1, np.int64)
+        for i, t in enumerate(texts):
+            grid[i, : len(t)] = [self.symbols.get(c, _WIDE // 2 + k) for k, c in enumerate(t)]
+        keys = np.array([self.key(u, v) for u, v in units], np.uint64) if self.limit else np.zeros(len(units), np.uint64)
+        ends = np.tile(np.arange(wide + 1, dtype=np.int64), (len(units), 1))  # where each symbol begins
+        ranks, made = self._pairs(grid[:, :-1], grid[:, 1:], keys[:, None], ends[:, :-2], ends[:, 1:-1], ends[:, 2:])
+        rows = np.arange(len(units))
+        columns = np.arange(wide)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while rows.size:
+            at = ranks.argmin(1) if wide > 1 else np.zeros(len(rows), np.int64)
+            live = ranks[np.arange(len(rows)), at] < _NONE if wide > 1 else np.zeros(len(rows), bool)
+            if not live.all():
+                done.append((rows[~live], grid[~live], ends[~live]))
+                rows, grid, ends, ranks, made, at, keys = (x[live] for x in (rows, grid, ends, ranks, made, at, keys))
+            if not rows.size:
+                break
+            n = np.arange(len(rows))
+            grid[n, at] = made[n, at]
+            # what stands behind the merged symbol moves up
+            shift = columns[None, :] + (columns[None, :] > at[:, None])
+            grid = np.take_along_axis(np.pad(grid, ((0, 0), (0, 1)), constant_values=-1), shift, 1)
+            shift_ends = np.concatenate((shift, np.full((len(rows), 1), wide + 1)), 1)
+            ends = np.take_along_axis(np.pad(ends, ((0, 0), (0, 1)), mode="edge"), shift_ends, 1)
+            shift_pairs = columns[None, :-1] + (columns[None, :-1] >= at[:, None])
+            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=_NONE), shift_pairs, 1)
+            made = np.take_along_axis(np.pad(made, ((0, 0), (0, 1))), shift_pairs, 1)
+            for j in (at - 1, at):
+                some = np.flatnonzero((j >= 0) & (j < wide - 1))
+                k = j[some]
+                ranks[some, k], made[some, k] = self._pairs(grid[some, k], grid[some, k + 1], keys[some], ends[some, k], ends[some, k + 1], ends[some, k + 2])
+        out: list[bytes] = [b""] * len(units)
+        for who, symbols, begins in done:
+            known = symbols < _WIDE // 2
+            ids = np.where(known & (symbols >= 0), self.ids[np.where(known & (symbols >= 0), symbols, 0)], -1).astype(np.int32)
+            sizes = (symbols >= 0).sum(1)
+            plain = (ids >= 0).sum(1) == sizes
+            raw = ids.tobytes()
+            for i, (row, size, good) in enumerate(zip(who.tolist(), sizes.tolist(), plain.tolist())):
+                if good:
+                    out[row] = raw[4 * wide * i : 4 * (wide * i + size)]
+                else:
+                    cuts = begins[i, 1 : size].tolist() + [len(texts[row])]
+                    out[row] = np.array(self._named(texts[row], cuts), np.int32).tobytes()
+        return out
+
+    def _pairs(self, left, right, keys, a, b, c) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (none: _NONE) and merged symbols of neighbours; skipped pairs have none."""
+        key = np.where((left >= 0) & (right >= 0), left * _WIDE + right, -1)
+        place = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        good = self.pair_keys[place] == key
+        if self.limit:
+            a, b, c = (x.astype(np.uint64) for x in (a, b, c))
+            h = (keys ^ (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + c * np.uint64(0x165667B19E3779F9))) * np.uint64(0xFF51AFD7ED558CCD)
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+            good &= h >> np.uint64(11) >= np.uint64(self.limit)
+        return np.where(good, self.pair_ranks[place], _NONE), self.pair_made[place]
 
     def agenda(self, unit: bytes, variant: int) -> list[int]:
         # a blank becomes the sign; a sign of the text becomes a character that has no piece
         chars = unit.decode("utf-8", "surrogateescape").replace(SIGN, "\udfff").replace(" ", SIGN)
         key = self.key(unit, variant) if self.limit else 0
-        ends = self._small(chars, key) if len(chars) <= SMALL else self._large(chars, key)
+        return self._named(chars, self._small(chars, key) if len(chars) <= SMALL else self._large(chars, key))
+
+    def _named(self, chars: str, ends: list[int]) -> list[int]:
+        """The ids of the pieces that end there; what has no piece goes through bytes."""
         out, a = [], 0
         for b in ends:
             piece = chars[a:b]
@@ -177,10 +256,10 @@ class Encoder:
         code = units.indices.to_numpy().astype(np.int64) * self.variants + variant
         kinds, which = np.unique(code, return_inverse=True)
         names = units.dictionary.to_pylist()
-        cuts = [self.cut(names[k // self.variants], k % self.variants) for k in kinds.tolist()]
-        lengths = np.array([len(c) for c in cuts], np.int64)
+        cuts = self.cuts([(names[k // self.variants], k % self.variants) for k in kinds.tolist()])
+        lengths = np.array([len(c) // 4 for c in cuts], np.int64)
         begins = np.cumsum(lengths) - lengths
-        every = np.concatenate(cuts)
+        every = np.frombuffer(b"".join(cuts), np.int32)
         n = lengths[which]
         ends = np.cumsum(n)
         ids = every[np.repeat(begins[which] - (ends - n), n) + np.arange(int(ends[-1]))]

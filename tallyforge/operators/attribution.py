@@ -72,10 +72,13 @@ def call_states(costed: DataFrame, new: DataFrame, markers: DataFrame) -> DataFr
     c = c.withColumn("tail_price", F.when(F.col("tail") > 0, F.col("tail_cost") / F.col("tail")).otherwise(0.0))
     c = c.withColumn("rebuild", (F.col("idx") > 0) & ~F.col("reset") & (F.col("rewrite") > REBUILD_TOKENS) & (F.col("rewrite") > REBUILD_SHARE * F.greatest(F.col("old_tok"), F.lit(1.0))))
     c = c.withColumn("excess", F.when(F.col("rebuild"), F.least(F.col("rewrite") * F.greatest(F.col("pw") - or0("p_read"), F.lit(0.0)), F.col("old_cost"))).otherwise(0.0))
-    keep = F.when(F.col("shrinks") & ~F.col("near_reset"), F.log("f")).otherwise(0.0)
-    c = c.withColumns({"F": F.exp(F.sum(keep).over(running("idx"))), "opss": F.when(F.col("old_tok") > 0, (F.col("old_cost") - F.col("excess")) / F.col("old_tok")).otherwise(0.0)})
-    c = c.withColumns({"Q": F.sum(F.col("opss") * F.col("F") * F.col("w")).over(running("idx")), "life": F.sum(flag(F.col("reset") & (F.col("idx") > 0))).over(running("idx"))})
+    # A life runs from one reset to the next. No item outlives it, so the running product F and sum Q begin anew in each.
+    c = c.withColumn("life", F.sum(flag(F.col("reset") & (F.col("idx") > 0))).over(running("idx")))
     life = Window.partitionBy("path", "life")
+    upto = life.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    keep = F.when(F.col("shrinks") & ~F.col("near_reset"), F.log("f")).otherwise(0.0)
+    c = c.withColumns({"decay": F.exp(F.sum(keep).over(upto)), "opss": F.when(F.col("old_tok") > 0, (F.col("old_cost") - F.col("excess")) / F.col("old_tok")).otherwise(0.0)})
+    c = c.withColumn("Q", F.sum(F.col("opss") * F.col("decay") * F.col("w")).over(upto))
     return c.withColumns({"Q_end": F.max_by("Q", "idx").over(life), "death": F.max("idx").over(life) + 1, "cause": F.when(F.col("rebuild") & ~F.col("copied"), cause())})
 
 
@@ -91,14 +94,14 @@ def item_costs(states: DataFrame, new: DataFrame) -> DataFrame:
     """(path, category, entry, tokens, entry_usd, carry_usd): every item with what it cost on entry and while it was carried."""
     plain = (F.col("idx") > 0) & ~F.col("reset")
     scale = F.when(F.col("S") > 0, F.least(F.lit(1.0), F.col("tail") / F.col("S"))).otherwise(0.0)
-    state = states.select("path", "idx", "tail", "S", scale.alias("scale"), plain.alias("plain"), "ctx", "marker", "in_cost", "tail_price", "w", "F", "Q", "Q_end", "death", "loads")
+    state = states.select("path", "idx", "tail", "S", scale.alias("scale"), plain.alias("plain"), "ctx", "marker", "in_cost", "tail_price", "w", "decay", "Q", "Q_end", "death", "loads")
     entered = new.withColumnRenamed("entry", "idx").join(state.where("plain"), ["path", "idx"]).withColumn("tokens", F.col("est") * F.col("scale")).withColumn("own", F.lit(None).cast("double"))
     whole = state.where("not plain").withColumns({"category": F.when(F.col("idx") == 0, "boot_prefix").when(F.col("marker"), "post_compact_context").otherwise("post_reset_context"), "tokens": F.col("ctx"), "own": F.col("in_cost")})
     rest = F.col("tail") - F.col("S") * F.col("scale")
     grown = state.where("plain").withColumn("tokens", rest).where("tokens > 0").withColumns({"category": F.when(F.col("loads") == 1, SCHEMAS_LOADED).otherwise("unattributed_growth"), "own": F.lit(None).cast("double")})
-    columns = ["path", "idx", "category", "tokens", "own", "tail_price", "w", "F", "Q", "Q_end", "death"]
+    columns = ["path", "idx", "category", "tokens", "own", "tail_price", "w", "decay", "Q", "Q_end", "death"]
     rows = entered.select(*columns).unionByName(whole.select(*columns)).unionByName(grown.select(*columns))
-    carry = F.when((F.col("F") > 0) & (F.col("death") - 1 > F.col("idx")), F.col("tokens") / F.col("F") * (F.col("Q_end") - F.col("Q"))).otherwise(0.0)
+    carry = F.when((F.col("decay") > 0) & (F.col("death") - 1 > F.col("idx")), F.col("tokens") / F.col("decay") * (F.col("Q_end") - F.col("Q"))).otherwise(0.0)
     return rows.select("path", "category", F.col("idx").alias("entry"), "tokens", F.coalesce("own", F.col("tokens") * F.col("tail_price") * F.col("w")).alias("entry_usd"), carry.alias("carry_usd"))
 
 

@@ -34,6 +34,8 @@ from .shared import SPACED, Words, byte_rows, mixed, pieces, written
 SHINGLE, PERCENT = 5, 80
 BUCKET_BITS, BLOCKS = 20, 128
 TILE, GROUP, SALTS = 256, 256, 16
+#: A shingle of so few sets makes their pairs; sets that share one with more meet in tiles.
+FEW = 12
 ROUNDS = 3
 LEAST_BITS, MOST_BITS = 128, 8192
 #: Keys that name the documents to read again are broadcast up to so many, and else shuffled.
@@ -75,7 +77,7 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 def bitmap(values: np.ndarray) -> bytes:
     """Bits of the values' low ends; the width follows the size band, so a wider one can be folded on a narrower."""
-    width = min(MOST_BITS, max(LEAST_BITS, 2 << int(len(values)).bit_length()))
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(len(values)).bit_length()))
     bits = np.zeros(width, bool)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -218,14 +220,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def tiles(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a, b) of rows (tok, node, n, label, bits): equal tok, other label, room for a link by size and bitmap."""
+def few_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate pairs (a, b) of rows (tok, node, n, label) of shingles with FEW sets at most: other label, in one size band."""
+    other = rows.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    met = rows.join(other, "tok").where(f"node < b and label <> lb and 100 * least(n, nb) >= {percent} * greatest(n, nb)")
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def tiles(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate pairs (a, b) of rows (tok, node, n, label): equal tok, other label, room for a link by size and bitmap."""
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("tok").orderBy("n", "node")) - 1).withColumn("own", F.floor(F.col("r") / TILE).cast("int"))
     blocks = ranked.groupBy("tok", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = blocks.select("tok", F.col("own").alias("y"), "low", "high")
     meets = blocks.join(other.select("tok", "y", F.col("low").alias("low_y")), "tok").where(f"own <= y and 100 * high >= {percent} * low_y").select("tok", F.col("own").alias("x"), "y")
     to = meets.select("tok", "x", "y", F.col("x").alias("own")).union(meets.where("x < y").select("tok", "x", "y", F.col("y").alias("own")))
-    dealt = ranked.join(to, ["tok", "own"]).select("tok", "x", "y", "own", "node", "n", "label", "bits")
+    dealt = ranked.join(to, ["tok", "own"]).join(nodes.select("node", "bits"), "node").select("tok", "x", "y", "own", "node", "n", "label", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -299,11 +308,14 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = shared.select("tok", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token)}).where("low < high").select("tok", "node", "n", "label")
-    rest = tiles(spread.join(nodes.select("node", "bits"), "node"), percent)
+    spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token), "g": F.count(F.lit(1)).over(by_token)}).where("low < high")
+    spread = written(spread.select("tok", "node", "n", "label", "g"), "jaccard-tokens")
+    few = few_pairs(spread.where(f"g <= {FEW}").drop("g"), percent)
+    many = tiles(spread.where(f"g > {FEW}").drop("g"), nodes, percent)
     if tested:
-        done = _union(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = rest.join(done, ["a", "b"], "left_anti")
+        done = written(_union(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-tested")
+        few, many = (x.join(done, ["a", "b"], "left_anti") for x in (few, many))
+    rest = bounded_pairs(few, nodes, percent).union(many).distinct()
     rest = written(rest, "jaccard-pairs")
     if not rest.isEmpty():
         edges.append(written(exact_links(rest, nodes, docs, size, percent), "jaccard-links"))

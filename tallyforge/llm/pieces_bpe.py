@@ -22,16 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import byte_rows, mixed, pieces
+from .shared import byte_rows, hashes, mixed, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
 SIGN = "▁"
-#: Cut units that a task remembers; when there are more, it starts anew.
-REMEMBERED = 600_000
+#: Cut units that a task remembers in each of two generations.
+REMEMBERED = 400_000
 SMALL = 24
 _M = (1 << 64) - 1
-_WIDE, _NONE = 1 << 26, 1 << 40
+_WIDE, _NONE, _UNKNOWN = 1 << 26, 1 << 40, 1 << 25
 
 
 class Encoder:
@@ -65,6 +65,7 @@ class Encoder:
         self.limit = int(dropout * (1 << 53))
         self.seed, self.variants = seed, variants if dropout else 1
         self.memory: list[dict[bytes, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[bytes, bytes]] = [{} for _ in range(self.variants)]
         # For cutting many units at once: symbols are the pieces and the characters in them; pairs are all that make a piece.
         characters = {c for piece in self.scores for c in piece}
         self.symbols = {x: k for k, x in enumerate([*self.scores, *sorted(characters - set(self.scores))])}
@@ -72,78 +73,101 @@ class Encoder:
         order = {v: k for k, v in enumerate(sorted({v for v, _ in self.scores.values()}, reverse=True))}
         pairs = sorted((self.symbols[p[:k]] * _WIDE + self.symbols[p[k:]], order[v], self.symbols[p]) for p, (v, _) in self.scores.items() for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols)
         self.pair_keys, self.pair_ranks, self.pair_made = (np.array(x, np.int64) for x in zip(*pairs))
+        # Code points to symbols: a blank is the sign; the sign itself and what is in no piece have none.
+        self.of_point = np.full(0x110000, _UNKNOWN, np.int64)
+        for x, k in self.symbols.items():
+            if len(x) == 1:
+                self.of_point[ord(x)] = k
+        self.of_point[0x20], self.of_point[ord(SIGN)] = self.symbols.get(SIGN, _UNKNOWN), _UNKNOWN
+
+    def keys(self, units: list[bytes], variants: np.ndarray) -> np.ndarray:
+        """The keys of units, from their bytes, their variants and the seed."""
+        own = hashes(np.frombuffer(b"".join(units), np.uint8), np.array([len(u) for u in units], np.int64))
+        return mixed(own ^ mixed(np.uint64(self.seed & _M) + variants.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)))
 
     def key(self, unit: bytes, variant: int) -> int:
-        return int.from_bytes(hashlib.blake2b(unit, digest_size=8, key=b"%d.%d" % (self.seed, variant)).digest(), "little")
+        return int(self.keys([unit], np.array([variant]))[0])
 
     def skipped(self, key: int, a: int, b: int, c: int) -> bool:
         h = ((key ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9)) * 0xFF51AFD7ED558CCD) & _M
         h = ((h ^ h >> 32) * 0xC4CEB9FE1A85EC53) & _M
         return h >> 11 < self.limit
 
-    def cuts(self, wanted: list[tuple[bytes, int]]) -> list[bytes]:
-        """The ids (as 32-bit numbers) of units, each with its variant; a blank in them is a blank."""
-        new = [(u, v) for u, v in wanted if u not in self.memory[v]]
-        if sum(map(len, self.memory)) + len(new) > REMEMBERED:
-            for m in self.memory:
-                m.clear()
-            new = wanted
-        sized: dict[int, list[tuple[bytes, int]]] = {}
-        for u, v in new:
-            sized.setdefault(next((n for n in (4, 8, 16, 32) if len(u) <= n), 0), []).append((u, v))
-        for wide, group in sized.items():
-            found = self._together(group, wide) if wide else [np.array(self.agenda(u, v), np.int32).tobytes() for u, v in group]
-            for (u, v), ids in zip(group, found):
-                self.memory[v][u] = ids
-        return [self.memory[v][u] for u, v in wanted]
-
-    def _together(self, units: list[tuple[bytes, int]], wide: int) -> list[bytes]:
-        """The agenda of many units in step: in each round, every unit makes its best merge that is not skipped."""
-        texts = [u.decode("utf-8", "surrogateescape").replace(SIGN, "\udfff").replace(" ", SIGN) for u, _ in units]
-        grid = np.full((len(units), wide), -1, np.int64)
-        for i, t in enumerate(texts):
-            grid[i, : len(t)] = [self.symbols.get(c, _WIDE // 2 + k) for k, c in enumerate(t)]
-        keys = np.array([self.key(u, v) for u, v in units], np.uint64) if self.limit else np.zeros(len(units), np.uint64)
-        ends = np.tile(np.arange(wide + 1, dtype=np.int64), (len(units), 1))  # where each symbol begins
-        ranks, made = self._pairs(grid[:, :-1], grid[:, 1:], keys[:, None], ends[:, :-2], ends[:, 1:-1], ends[:, 2:])
-        rows = np.arange(len(units))
-        columns = np.arange(wide)
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while rows.size:
-            at = ranks.argmin(1) if wide > 1 else np.zeros(len(rows), np.int64)
-            live = ranks[np.arange(len(rows)), at] < _NONE if wide > 1 else np.zeros(len(rows), bool)
-            if not live.all():
-                done.append((rows[~live], grid[~live], ends[~live]))
-                rows, grid, ends, ranks, made, at, keys = (x[live] for x in (rows, grid, ends, ranks, made, at, keys))
-            if not rows.size:
-                break
-            n = np.arange(len(rows))
-            grid[n, at] = made[n, at]
-            # what stands behind the merged symbol moves up
-            shift = columns[None, :] + (columns[None, :] > at[:, None])
-            grid = np.take_along_axis(np.pad(grid, ((0, 0), (0, 1)), constant_values=-1), shift, 1)
-            shift_ends = np.concatenate((shift, np.full((len(rows), 1), wide + 1)), 1)
-            ends = np.take_along_axis(np.pad(ends, ((0, 0), (0, 1)), mode="edge"), shift_ends, 1)
-            shift_pairs = columns[None, :-1] + (columns[None, :-1] >= at[:, None])
-            ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=_NONE), shift_pairs, 1)
-            made = np.take_along_axis(np.pad(made, ((0, 0), (0, 1))), shift_pairs, 1)
-            for j in (at - 1, at):
-                some = np.flatnonzero((j >= 0) & (j < wide - 1))
-                k = j[some]
-                ranks[some, k], made[some, k] = self._pairs(grid[some, k], grid[some, k + 1], keys[some], ends[some, k], ends[some, k + 1], ends[some, k + 2])
-        out: list[bytes] = [b""] * len(units)
-        for who, symbols, begins in done:
-            known = symbols < _WIDE // 2
-            ids = np.where(known & (symbols >= 0), self.ids[np.where(known & (symbols >= 0), symbols, 0)], -1).astype(np.int32)
-            sizes = (symbols >= 0).sum(1)
-            plain = (ids >= 0).sum(1) == sizes
-            raw = ids.tobytes()
-            for i, (row, size, good) in enumerate(zip(who.tolist(), sizes.tolist(), plain.tolist())):
-                if good:
-                    out[row] = raw[4 * wide * i : 4 * (wide * i + size)]
+    def cuts(self, units: list[bytes], variants: list[int]) -> list[bytes]:
+        """The ids (as 32-bit numbers) of units, each with its variant; a blank in them is a blank.
+
+        Cut units are remembered in two generations: when the younger is full, the older goes."""
+        out: list[bytes | None] = [self.memory[v].get(u) for u, v in zip(units, variants)]
+        new: dict[int, list[int]] = {}
+        for i, found in enumerate(out):
+            if found is None:
+                u, v = units[i], variants[i]
+                if (found := self.older[v].get(u)) is not None:
+                    out[i] = self.memory[v][u] = found
                 else:
-                    cuts = begins[i, 1 : size].tolist() + [len(texts[row])]
-                    out[row] = np.array(self._named(texts[row], cuts), np.int32).tobytes()
+                    n = len(u)
+                    new.setdefault(4 if n <= 4 else 8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else 0, []).append(i)
+        for wide, which in new.items():
+            group, kinds = [units[i] for i in which], [variants[i] for i in which]
+            found = self._together(group, np.array(kinds), wide) if wide else [np.array(self.agenda(u, v), np.int32).tobytes() for u, v in zip(group, kinds)]
+            for i, u, v, ids in zip(which, group, kinds, found):
+                out[i] = self.memory[v][u] = ids
+        if sum(map(len, self.memory)) > REMEMBERED:
+            self.older, self.memory = self.memory, [{} for _ in range(self.variants)]
+        return out
+
+    def _together(self, units: list[bytes], variants: np.ndarray, wide: int) -> list[bytes]:
+        """The agenda of many units in step: in each round, every unit makes its best merge that is not skipped.
+
+        A symbol stays in the column of its first character, so no column moves: `after` is where the next symbol begins."""
+        joined = b"".join(units)
+        flat = np.frombuffer(joined, np.uint8)
+        sizes = np.array([len(u) for u in units], np.int64)
+        lengths = np.add.reduceat((flat & 0xC0) != 0x80, np.cumsum(sizes) - sizes).astype(np.int64)
+        points = np.frombuffer(joined.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(points) != lengths.sum():  # bytes that are no UTF-8
+            return [np.array(self.agenda(u, int(v)), np.int32).tobytes() for u, v in zip(units, variants)]
+        total, columns = len(units), np.arange(wide)
+        inside = columns < lengths[:, None]
+        symbols = np.full((total, wide), -1, np.int64)
+        symbols[inside] = self.of_point[points]
+        keys = self.keys(units, variants) if self.limit else np.zeros(total, np.uint64)
+        after = np.minimum(np.tile(columns + 1, (total, 1)), lengths[:, None])
+        before = np.tile(columns - 1, (total, 1))
+        ranks, made = np.full((total, wide), _NONE, np.int64), np.zeros((total, wide), np.int64)
+        row, at = np.nonzero(columns < lengths[:, None] - 1)
+        ranks[row, at], made[row, at] = self._pairs(symbols[row, at], symbols[row, at + 1], keys[row], at, at + 1, np.minimum(at + 2, lengths[row]))
+        live = np.arange(total)
+        begins = inside.copy()
+        while live.size:
+            best = ranks[live]
+            at = best.argmin(1)
+            going = best[np.arange(len(live)), at] < _NONE
+            live, at = live[going], at[going]
+            b = after[live, at]
+            c = after[live, b]
+            symbols[live, at] = made[live, at]
+            after[live, at] = c
+            begins[live, b] = False
+            ranks[live, b] = _NONE
+            ranks[live, at] = _NONE
+            more = np.flatnonzero(c < lengths[live])
+            rows, a, c_ = live[more], at[more], c[more]
+            before[rows, c_] = a
+            ranks[rows, a], made[rows, a] = self._pairs(symbols[rows, a], symbols[rows, c_], keys[rows], a, c_, after[rows, c_])
+            more = np.flatnonzero(before[live, at] >= 0)
+            rows, a = live[more], at[more]
+            p = before[rows, a]
+            ranks[rows, p], made[rows, p] = self._pairs(symbols[rows, p], symbols[rows, a], keys[rows], p, a, after[rows, a])
+        ids = np.where(symbols < _UNKNOWN, self.ids[np.where((symbols >= 0) & (symbols < _UNKNOWN), symbols, 0)], -1)[begins]
+        counts = begins.sum(1)
+        ends = np.cumsum(counts)
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist()
+        raw = ids.astype(np.int32).tobytes()
+        out = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
+        for i in odd:
+            text = units[i].decode("utf-8", "surrogateescape").replace(SIGN, "\udfff").replace(" ", SIGN)
+            out[i] = np.array(self._named(text, [*np.flatnonzero(begins[i])[1:].tolist(), len(text)]), np.int32).tobytes()
         return out
 
     def _pairs(self, left, right, keys, a, b, c) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +280,7 @@ class Encoder:
         code = units.indices.to_numpy().astype(np.int64) * self.variants + variant
         kinds, which = np.unique(code, return_inverse=True)
         names = units.dictionary.to_pylist()
-        cuts = self.cuts([(names[k // self.variants], k % self.variants) for k in kinds.tolist()])
+        cuts = self.cuts([names[k] for k in (kinds // self.variants).tolist()], (kinds % self.variants).tolist())
         lengths = np.array([len(c) // 4 for c in cuts], np.int64)
         begins = np.cumsum(lengths) - lengths
         every = np.frombuffer(b"".join(cuts), np.int32)

@@ -111,11 +111,15 @@ class Words:
         """64-bit hashes: a polynomial over random values of the bytes, finished; equal everywhere for equal words."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        sizes = self.ends - self.starts
-        begin = np.cumsum(sizes) - sizes
-        place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-        powers = np.cumprod(np.full(int(sizes.max()), _FACTOR, np.uint64))
-        return mixed(np.add.reduceat(_BYTES[self.plain[self.inside]] * powers[place], begin) + sizes.astype(np.uint64))
+        return hashes(self.plain[self.inside], self.ends - self.starts)
+
+
+def hashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings that lie one behind the other, none of them empty."""
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), _FACTOR, np.uint64))
+    return mixed(np.add.reduceat(_BYTES[flat] * powers[place], begin) + sizes.astype(np.uint64))
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)

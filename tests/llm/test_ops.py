@@ -182,7 +182,7 @@ def test_merges_in_step_equal_the_agenda():
     encoder = pieces_bpe.Encoder(dropout=0.3)
     units = sorted({w.encode() for _, t, *_ in corpus() for w in (" " + (t or "")[:300]).split("\n") for w in re.findall(r" ?\S{1,25}", w) if 0 < len(w.encode()) <= 32})[:400]
     pairs = [(u, v) for u in units for v in range(4)]
-    assert encoder._together(pairs, 32) == [np.array(encoder.agenda(u, v), np.int32).tobytes() for u, v in pairs]
+    assert encoder._together([u for u, _ in pairs], np.array([v for _, v in pairs]), 32) == [np.array(encoder.agenda(u, v), np.int32).tobytes() for u, v in pairs]
     assert encoder._small("▁windmills", 5) == encoder._large("▁windmills", 5)
     assert len({encoder.agenda(b" interesting", v).__repr__() for v in range(4)}) > 1
     other = pieces_bpe.Encoder(dropout=0.3, seed=2)

@@ -91,14 +91,14 @@ def tally(rows: DataFrame) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(key, label) of a JSONL labels file; conflicts and bad rows are refused, unknown labels left out."""
-    rows = spark.read.schema("key string, label string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    if rows.where("_bad is not null").limit(1).count():
-        raise Refusal("the labels file has a line that is not JSON")
-    if rows.where("key is null or not key rlike '^[0-9a-f]{64}$'").limit(1).count():
-        raise Refusal("the labels file has a line without a 64-character hex key")
-    if rows.where(F.col("label").isNull() | ~F.col("label").isin(*LABELS, UNKNOWN)).limit(1).count():
-        raise Refusal("the labels file has a label outside " + ", ".join(LABELS))
-    if rows.groupBy("key").agg(F.count_distinct("label").alias("n")).where("n > 1").limit(1).count():
+    rows = spark.read.schema("key string, label string, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    known = F.coalesce(F.col("label").isin(*LABELS, UNKNOWN), F.lit(False))
+    shaped = F.coalesce(F.col("key").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    found = rows.agg(F.count_if(F.col("_bad").isNotNull()).alias("bad"), F.count_if(~shaped).alias("keys"), F.count_if(~known).alias("labels")).first()
+    for n, what in zip(found, ("a line that is not JSON", "a line without a 64-character hex key", "a label outside " + ", ".join(LABELS))):
+        if n:
+            raise Refusal(f"the labels file has {what}")
+    if not rows.groupBy("key").agg(F.count_distinct("label").alias("n")).where("n > 1").isEmpty():
         raise Refusal("the labels file gives a key a second, different label")
     return rows.where(F.col("label") != UNKNOWN).select("key", "label").distinct()
 

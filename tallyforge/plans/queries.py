@@ -240,10 +240,10 @@ def rebuild_taxonomy(spark, sf):
 i as (select path, idx, 'tool_result:Read' as category, S * scale as T, cast(null as double) as own, tail_price, decay, Q, Q_end, death from sc where idx > 0 and not reset
   union all select path, idx, case when idx = 0 then 'boot_prefix' when marker then 'post_compact_context' else 'post_reset_context' end, ctx, in_cost, tail_price, decay, Q, Q_end, death from sc where idx = 0 or reset
   union all select path, idx, 'unattributed_growth', tail - S * scale, null, tail_price, decay, Q, Q_end, death from sc where idx > 0 and not reset and tail - S * scale > 0)
-select category, cast(count(*) as bigint) as items, round(sum(T), 2) as tokens, round(sum(coalesce(own, T * tail_price)) / 1e9, 5) as entry_usd, round(sum(case when decay > 0 and death - 1 > idx then T / decay * (Q_end - Q) else 0 end) / 1e9, 2) as carry_usd from i group by 1""")
+select category, cast(count(*) as bigint) as items, round(sum(T), 2) as tokens, round(sum(coalesce(own, T * tail_price)) / 1e9, 5) as entry_usd, round(sum(case when decay > 0 and death - 1 > idx then T / decay * (Q_end - Q) else 0 end) / 1e9, 2) as carry_usd from i where T > 1e-6 group by 1""")
 def content_carry(spark, sf):
     states, new = _states(spark, sf)
-    c = attribution.item_costs(states, new)
+    c = attribution.item_costs(states, new).where("tokens > 1e-6")  # less would hang on the order of sums
     return c.groupBy("category").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("tokens"), 2).alias("tokens"), F.round(F.sum("entry_usd") / 1e9, 5).alias("entry_usd"), F.round(F.sum("carry_usd") / 1e9, 2).alias("carry_usd"))
 
 

@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, byte_rows, mixed, pieces, written
+from .shared import SPACED, Words, byte_rows, mixed, pieces, shared_dir, written
 
 #: Words of a shingle and similarity in percent, unless the caller says otherwise.
 SHINGLE, PERCENT = 5, 80
 BUCKET_BITS, BLOCKS = 20, 128
 TILE, GROUP, SALTS = 256, 256, 16
-#: A shingle of so few sets makes their pairs; sets that share one with more meet in tiles.
-FEW = 12
 ROUNDS = 3
 LEAST_BITS, MOST_BITS = 128, 8192
 #: Keys that name the documents to read again are broadcast up to so many, and else shuffled.
@@ -220,13 +218,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def few_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a, b) of rows (tok, node, n, label) of shingles with FEW sets at most: other label, in one size band."""
-    other = rows.select("tok", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    met = rows.join(other, "tok").where(f"node < b and label <> lb and 100 * least(n, nb) >= {percent} * greatest(n, nb)")
-    return met.select(F.col("node").alias("a"), "b").distinct()
-
-
 def tiles(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Candidate pairs (a, b) of rows (tok, node, n, label): equal tok, other label, room for a link by size and bitmap."""
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("tok").orderBy("n", "node")) - 1).withColumn("own", F.floor(F.col("r") / TILE).cast("int"))
@@ -276,6 +267,7 @@ def tiles(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(row, doc_id, key, n, component_id, head): head is true for one row of each component."""
+    shared_dir(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn(KEY, F.xxhash64(F.col("doc_id").cast("string"), "text"))
     rows = set_rows(docs, bucket_levels(docs, size), size, percent)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
@@ -308,14 +300,11 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = shared.select("tok", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token), "g": F.count(F.lit(1)).over(by_token)}).where("low < high")
-    spread = written(spread.select("tok", "node", "n", "label", "g"), "jaccard-tokens")
-    few = few_pairs(spread.where(f"g <= {FEW}").drop("g"), percent)
-    many = tiles(spread.where(f"g > {FEW}").drop("g"), nodes, percent)
+    spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token)}).where("low < high")
+    rest = tiles(written(spread.select("tok", "node", "n", "label"), "jaccard-tokens"), nodes, percent)
     if tested:
-        done = written(_union(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-tested")
-        few, many = (x.join(done, ["a", "b"], "left_anti") for x in (few, many))
-    rest = bounded_pairs(few, nodes, percent).union(many).distinct()
+        done = _union(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = rest.join(done, ["a", "b"], "left_anti")
     rest = written(rest, "jaccard-pairs")
     if not rest.isEmpty():
         edges.append(written(exact_links(rest, nodes, docs, size, percent), "jaccard-links"))

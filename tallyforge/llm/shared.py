@@ -16,6 +16,8 @@ PIECE_BYTES = 4 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary one."""
+    # A union may otherwise count as partitioned like its parts, though their partitions are coalesced apart.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = tempfile.mkdtemp(prefix="tallyforge-")

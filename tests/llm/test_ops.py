@@ -227,7 +227,6 @@ def test_ngram_tiles_and_bounds(spark, monkeypatch):
     """Without the rounds that meet one partner each, the tiles alone find all links, also of groups of several tiles."""
     monkeypatch.setattr(ngram_join, "ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "TILE", 4)
-    monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "GROUP", 3)
     rows = [r for r in corpus() if r[1] and len(r[1]) < 5000][:110]
     got = ngram_join.linked(spark.createDataFrame(rows, DOCS), 4, 85).select("doc_id", "component_id").collect()

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def exact_unions(spark: SparkSession) -> None:
+    """Shuffles after a union stay: it may otherwise count as partitioned like its parts, though these are coalesced apart."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def by_path(*order: str) -> Window:
     return Window.partitionBy("path").orderBy(*order)
 

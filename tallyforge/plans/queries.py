@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import attribution, audits, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
-from ..operators.common import running
+from ..operators.common import exact_unions, running
 from ..sources import prices as P
 from . import views as V
 
@@ -17,7 +19,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def put(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            exact_unions(spark)
+            return f(spark, sf)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -8,8 +8,9 @@ or replaced. The earliest stays. Lines of fewer than MIN_WORDS words always stay
 2. Two lines within one edit share their first or last words (a quarter of them at least, in lengths fixed by powers of
    two): lines that share neither with another line need no variants.
 3. The others emit their deletion neighbourhood: the hash of the line without word i, with i (replacement) and as a whole
-   line of one word less (insertion and deletion), and that of the line itself. Equal variants meet; each line is
-   paired with the earliest of its group, and the pair's edit distance is verified on their words.
+   line of one word less (insertion and deletion), and that of the line itself. Each line is paired with the earliest
+   of those whose equal variant proves one edit: replaced against replaced, or less a word against the whole line. Two
+   lines less a word each may be two edits apart and are not paired. The pair's edit distance is verified on their words.
 
 Groups are aggregated before they are joined and no pair of two later lines is made, so a line or variant that a third
 of all rows share costs rows in proportion.
@@ -40,6 +41,8 @@ _P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _Q = np.uint64(0xA0761D6478BD642F)
 LAST = (1 << 63) - 1
 KEY, ORD = "__row_key", "__row_ord"
+#: Kinds of variants.
+REPLACED, LESS, WHOLE = 0, 1, 2
 
 
 class LineWords(Words):
@@ -133,7 +136,7 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
-    """The deletion neighbourhood of each line as hashed keys."""
+    """The deletion neighbourhood of each line as hashed keys, each of a kind: a word replaced, a word less, the line itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "words", 1 << 20):
@@ -151,9 +154,10 @@ def variant_rows(lines: DataFrame) -> DataFrame:
             shorter = mixed(without + mixed(~(n - np.uint64(1))))
             itself = mixed(total[firsts[1:]] - total[firsts[:-1]] + mixed(~sizes.astype(np.uint64)))
             which = np.concatenate((line, line, np.arange(len(rows))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((replaced, shorter, itself)).view(np.int64)), batch.column(0).take(pa.array(which))], ["k", "lid"])
+            kind = np.repeat(np.array([REPLACED, LESS, WHOLE], np.int8), [len(line), len(line), len(rows)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((replaced, shorter, itself)).view(np.int64)), pa.array(kind), batch.column(0).take(pa.array(which))], ["k", "kind", "lid"])
 
-    return lines.select("lid", "words").mapInArrow(run, "k bigint, lid bigint")
+    return lines.select("lid", "words").mapInArrow(run, "k bigint, kind tinyint, lid bigint")
 
 
 def within(a: np.ndarray, b: np.ndarray, edits: int = EDITS) -> bool:
@@ -215,8 +219,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # Numbers that follow the order of (ord, key, line): the earliest line of a group has the least.
     words = written(words.dropDuplicates(["key", "line"]).orderBy("ord", "key", "line").withColumn("lid", F.monotonically_increasing_id()), "line-words")
     variants = variant_rows(words)
-    groups = variants.groupBy("k").agg(F.min("lid").alias("m"), F.max("lid").alias("x")).where("m < x").select("k", "m")
-    later = variants.join(groups, "k").where("lid > m").groupBy("lid").agg(F.min("m").alias("m"))
+    # m: the earliest line of a word replaced, or of a word less; whole: the line that has the key's words itself.
+    groups = variants.groupBy("k").agg(
+        F.min(F.when(F.col("kind") != WHOLE, F.col("lid"))).alias("m"), F.min(F.when(F.col("kind") == WHOLE, F.col("lid"))).alias("whole"), F.max(F.when(F.col("kind") == REPLACED, F.col("lid"))).alias("x")
+    )
+    groups = groups.where("m < x or m != whole").select("k", "m", "whole")
+    partner = F.when(F.col("kind") == LESS, F.col("whole")).otherwise(F.col("m"))
+    later = variants.join(groups, "k").withColumn("m", partner).where("lid > m").groupBy("lid").agg(F.min("m").alias("m"))
     pairs = later.join(words, "lid").join(words.select(F.col("lid").alias("m"), F.col("words").alias("other")), "m")
     near = verified(pairs.select("ord", "key", "line", "words", "other")).withColumn("near", F.lit(True))
     judged = kinds.join(near, ["ord", "key", "line"], "left").where("times > 1 or near")

@@ -152,6 +152,16 @@ def test_line_dedup(docs, empty):
     assert line_dedup.deduplicated(empty).count() == 0
 
 
+def test_line_dedup_hot_group(spark):
+    """An early line two edits from a hot group, which shares a key of one word less with it, displaces no true partner."""
+    eight = " ".join(f"w{k}" for k in range(1, 9))
+    lines = [f"x {eight}", f"q {eight}", *(f"{eight} {k}" for k in range(40)), f"{eight} 7 more", f"a b {eight}"]
+    rows = [(i, t) for i, t in enumerate(lines)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: t for (_, i, _), t in near_lines(rows).items()}
+    assert [i for i, t in got.items() if t] and not any(got[i] for i in range(3, 42))
+
+
 def test_edit_distance_bound():
     for a, b, near in (([1, 2, 3], [1, 2, 3], 1), ([1, 2, 3], [1, 9, 3], 1), ([1, 2, 3], [1, 3], 1), ([1, 2], [2, 1], 0), ([1, 1, 2], [1, 2, 2], 1), ([], [1], 1), ([1, 2, 3, 4], [2, 3, 4, 5], 0)):
         assert line_dedup.within(np.array(a), np.array(b)) == bool(near)

@@ -10,8 +10,8 @@ sum of its context's vectors, each times a matrix of its place (log-bilinear); b
 classes normalise it. In a class, a word has its share of the training tokens, smoothed by one half in the rare class, where
 one share is kept for what was never seen: the probabilities of all tokens sum to one.
 
-The class model is fitted on the class sequences of at most TRAIN_DOCS whole documents (those whose hash is smallest);
-everything else covers all documents.
+The class model is fitted on how often each class follows each two classes, counted over all training documents: each
+task counts its own, sums meet by a shuffle, and the driver gets at most a row for each of 256**3 triples.
 
 Defined results: a null text is empty and has its end as only token; rows whose doc_id is null are scored, not learned
 from; with nothing to learn from, the base score is 0; repeated rows stay repeated; further columns are ignored.
@@ -33,7 +33,8 @@ HEAVY = 200_000
 OWN, BINS = 190, 64
 END, RARE, FIRST = 0, 1, 2
 WIDTH, NOISE, BATCH, EPOCHS, RATE = 24, 10, 2048, 3, 0.15
-TRAIN_DOCS = 1500
+#: Steps of a fit at least, of BATCH contexts each.
+STEPS = 600
 #: Words that a task holds before it passes their counts on.
 HELD = 1_000_000
 
@@ -169,38 +170,40 @@ class LogBilinear:
         return (raw - whole[place]) / np.log(10)
 
 
-def train(sequences: list[bytes], size: int, seed: int = 5) -> LogBilinear:
-    """Noise-contrastive estimation by Adagrad: each token against NOISE draws from the classes' frequencies."""
+def fit(codes: np.ndarray, times: np.ndarray, size: int, seed: int = 5) -> LogBilinear:
+    """Noise-contrastive estimation by Adagrad on how often (`times`) each class stands in each context.
+
+    A code is (class before, class before that, class), 8 bits each. The NOISE draws for each token are taken in
+    expectation over the classes' frequencies instead of by lot, so a step covers all tokens of its contexts.
+    """
     draw = np.random.default_rng(seed)
-    classes = np.frombuffer(b"".join(s + bytes((END,)) for s in sequences), np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in sequences]))).astype(np.int64)
-    seen = np.bincount(classes, minlength=size) + 0.5
+    order = np.argsort(codes, kind="stable")
+    codes, times = codes[order], times[order].astype(np.float64)
+    seen = np.bincount(codes & 255, times, minlength=size) + 0.5
     noise = seen / seen.sum()
     p = {"r": draw.normal(0, 0.1, (size, WIDTH)), "q": draw.normal(0, 0.1, (size, WIDTH)), "b": np.log(noise), "c1": np.eye(WIDTH) * 0.7, "c2": np.eye(WIDTH) * 0.3}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    if len(classes) > 1:
-        one, two = contexts(classes, starts)
-        log_noise = np.log(NOISE * noise).astype(np.float32)
-        stair = np.cumsum(noise)
+    if len(codes):
+        places, firsts = np.unique(codes >> 8, return_index=True)
+        cuts = np.append(firsts, len(codes))
+        log_noise, k_noise = np.log(NOISE * noise).astype(np.float32), (NOISE * noise).astype(np.float32)
         square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-        rows = np.arange(BATCH)
-        for _ in range(EPOCHS):
-            order = draw.permutation(len(classes))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                n = len(pick)
-                a, b, w = one[pick], two[pick], classes[pick]
-                words = np.concatenate([w[:, None], np.minimum(np.searchsorted(stair, draw.random((n, NOISE))), size - 1)], 1)
+        steps = -(-len(places) // BATCH)
+        for _ in range(max(EPOCHS, -(-STEPS // steps))):
+            shuffled = draw.permutation(len(places))
+            for at in range(0, len(places), BATCH):
+                pick = shuffled[at : at + BATCH]
+                a, b, n = places[pick] >> 8, places[pick] & 255, cuts[pick + 1] - cuts[pick]
+                row = np.repeat(np.arange(len(pick)), n)
+                cell = np.arange(len(row)) + np.repeat(cuts[pick] - (np.cumsum(n) - n), n)
+                held = np.zeros((len(pick), size), np.float32)
+                held[row, codes[cell] & 255] = times[cell]
+                tokens = held.sum(1, keepdims=True)
                 guess = p["r"][a] @ p["c1"] + p["r"][b] @ p["c2"]
-                q = p["q"][words]
-                raw = np.einsum("nd,nkd->nk", guess, q) + p["b"][words] - log_noise[words]
-                pull = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-                pull[:, 0] -= 1
-                pull /= n
-                d_guess = np.einsum("nk,nkd->nd", pull, q)
-                flat = np.zeros((n, size), np.float32)  # the pull on each class in each context
-                np.add.at(flat, (np.repeat(rows[:n], NOISE + 1), words.ravel()), pull.ravel())
-                grads = {"q": flat.T @ guess, "b": flat.sum(0), "c1": p["r"][a].T @ d_guess, "c2": p["r"][b].T @ d_guess}
+                raw = guess @ p["q"].T + p["b"] - log_noise
+                pull = ((held + tokens * k_noise) / (1 + np.exp(-np.clip(raw, -30, 30))) - held) / tokens.sum()
+                d_guess = pull @ p["q"]
+                grads = {"q": pull.T @ guess, "b": pull.sum(0), "c1": p["r"][a].T @ d_guess, "c2": p["r"][b].T @ d_guess}
                 d_r = np.zeros_like(p["r"])
                 np.add.at(d_r, a, d_guess @ p["c1"].T)
                 np.add.at(d_r, b, d_guess @ p["c2"].T)
@@ -211,21 +214,35 @@ def train(sequences: list[bytes], size: int, seed: int = 5) -> LogBilinear:
     return LogBilinear(p["r"] @ p["c1"], p["r"] @ p["c2"], p["q"], p["b"])
 
 
-def train_sequences(docs: DataFrame, lex: Lexicon, most: int = TRAIN_DOCS) -> list[bytes]:
-    """Class sequences of at most `most` whole training documents."""
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = min(1.0, (1.2 * most + 20) / max(1, lex.docs))
+def coded(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The code of each token and end: its context and its class."""
+    ended, starts = with_ends(classes, firsts)
+    one, two = contexts(ended, starts)
+    return one.astype(np.int32) << 16 | two.astype(np.int32) << 8 | ended
+
+
+def train(sequences: list[bytes], size: int, seed: int = 5) -> LogBilinear:
+    """The model fitted on whole class sequences."""
+    firsts = np.concatenate(([0], np.cumsum([len(s) for s in sequences]))).astype(np.int64)
+    return fit(*np.unique(coded(np.frombuffer(b"".join(sequences), np.uint8), firsts), return_counts=True), size, seed)
+
+
+def transitions(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(code, c): how often each class stands in each context, over all of `docs`."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = sent.value
+        lex, counts = sent.value, None
         for batch in pieces(batches, "text"):
-            words = Words(byte_rows(batch.column(1)), SPACED)
-            classes = lex.classed(words.hashes())[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([classes[a:b].tobytes() for a, b in zip(words.firsts, words.firsts[1:])], pa.binary())], ["place", "classes"])
+            words = Words(byte_rows(batch.column(0)), SPACED)
+            counts = np.zeros(1 << 24, np.int64) if counts is None else counts
+            np.add.at(counts, coded(lex.classed(words.hashes())[0], words.firsts), 1)
+        for low in range(0, 0 if counts is None else len(counts), HELD):
+            found = np.flatnonzero(counts[low : low + HELD])
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array((found + low).astype(np.int32)), pa.array(counts[low : low + HELD][found])], ["code", "c"])
 
-    chosen = docs.select(place.alias("place"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("place") < share)
-    return [bytes(r["classes"]) for r in chosen.mapInArrow(run, "place double, classes binary").orderBy("place", "classes").limit(most).collect()]
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "code int, c bigint").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def scored(docs: DataFrame, learn: Column, heavy: int = HEAVY) -> DataFrame:
@@ -235,7 +252,8 @@ def scored(docs: DataFrame, learn: Column, heavy: int = HEAVY) -> DataFrame:
     training = docs.where("learn")
     counts = written(word_counts(training), "lm-counts")
     lex = lexicon(counts, training.count(), heavy)
-    model = train(train_sequences(training, lex), FIRST + OWN + BINS)
+    found = transitions(training, lex).toArrow()  # at most a row for each of 256**3 codes
+    model = fit(found["code"].to_numpy().astype(np.int32), found["c"].to_numpy().astype(np.int64), FIRST + OWN + BINS)
     sent = spark.sparkContext.broadcast((lex, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -451,6 +451,23 @@ def test_lm_probabilities_sum_to_one():
         assert sum(10**x for x in logs) == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_fits_on_all_documents(spark):
+    """The model's evidence has every training document's transitions, far more documents than any sample would hold."""
+    texts = [None, "", *(f"a b w{i % 7} a" for i in range(4000))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    lex = lm.lexicon(lm.word_counts(docs.fillna("")), len(texts))
+    assert len(lex.hashes) == 9
+    got = {r["code"]: r["c"] for r in lm.transitions(docs, lex).collect()}
+    want = Counter()
+    for t in texts:
+        w = [lm.END, lm.END, *(int(lex.classed(shared.Words([x.encode()], shared.SPACED).hashes())[0][0]) for x in words(t)), lm.END]
+        want.update(w[k - 1] << 16 | w[k - 2] << 8 | w[k] for k in range(2, len(w)))
+    assert got == want and sum(got.values()) == 5 * 4000 + 2
+    found = lm.fit(np.array(list(got)), np.array(list(got.values())), lm.FIRST + lm.OWN + lm.BINS)
+    a, b = (int(lex.classed(shared.Words([x], shared.SPACED).hashes())[0][0]) for x in (b"a", b"b"))
+    assert 10 ** found.scores(np.array([a, b], np.uint8), np.array([0, 2]))[1] > 0.9
+
+
 # ---- 10
 
 

@@ -42,8 +42,9 @@ IMPLIED = {
 SCOPES = frozenset("table td th caption template button html".split())
 
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,20000}+"|'[^']{0,20000}+')*+>|[^>]*(?:>|\Z))""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>"']*+(?:>|\Z)?)""", re.S
 )
+QUOTE_OR_END = re.compile("[>\"']")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s*=\s*(?!["']?until)|\s|/?>|$)|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
 NUMBER = re.compile(r"""(start|value|colspan)\s*=\s*["']?\s*(-?\d{1,6})""", re.I)
@@ -67,11 +68,31 @@ def unseen(name: str, attrs: str) -> bool:
     return bool(attrs) and len(attrs) > 6 and bool(HIDDEN.search(attrs))
 
 
+class Quotes:
+    """Where tags with quotes end. Opening quotes from which no end was found are remembered, so all searches together are linear."""
+
+    def __init__(self, page: str):
+        self.page, self.failed = page, set()
+
+    def tag_end(self, first: int) -> int:
+        """The place behind the tag whose first quote is at `first`: its first '>' outside quotes, or the first of all if there is none."""
+        page, at, opened = self.page, first, []
+        while (m := QUOTE_OR_END.search(page, at)) and m.start() not in self.failed:
+            if m[0] == ">":
+                return m.end()
+            opened.append(m.start())
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.failed.update(opened)
+        return (page.find(">", first) + 1) or len(page)
+
+
 def tree(page: str) -> Node:
     """The page's elements as a browser would nest them, as far as the text's layout needs it."""
     root = Node("body")
     stack, names = [root], ["body"]
-    at, end = 0, len(page)
+    at, end, quotes = 0, len(page), Quotes(page)
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
@@ -80,6 +101,8 @@ def tree(page: str) -> Node:
         if not m:
             break
         at = m.end()
+        if m[2] and at < end and page[at - 1] != ">" and page[at] in "\"'":
+            at = quotes.tag_end(at)
         if m[1]:
             name = m[1].lower()
             if name == "p" and "p" not in names:
@@ -96,7 +119,7 @@ def tree(page: str) -> Node:
             continue
         if not m[2]:
             continue
-        name, attrs = m[2].lower(), m[3]
+        name, attrs = m[2].lower(), page[m.start(3) : at]
         if name in ("html", "body", "head"):
             if name == "head" or not unseen(name, attrs):
                 continue

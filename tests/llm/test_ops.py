@@ -486,6 +486,13 @@ def test_html(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_long_quotes(quote):
+    state = "a > b " * 9000
+    assert html_text.visible_text(f"<div data-x={quote}{state}{quote} hidden>no</div><p>yes") == "yes"
+    assert html_text.visible_text(f"<div title={quote}{state}>yes") == ("a > b " * 8999 + "a > b >yes").split(">", 1)[1].strip()
+
+
 def test_html_deep_and_long(spark):
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     rows = spark.createDataFrame([(1, deep), (2, None), (3, "<p>" + "w " * 50000), (3, "<p>x")], "page_id bigint, html string")

@@ -4,13 +4,15 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 
 1. Equal sets are one class; only one document of a class goes on.
 2. A fixed-size table of how many documents have the shingles of each hash bucket orders all shingles, rare buckets first.
-   Any such order is exact: sets that link share one of their first n - ceil(PERCENT n / 100) + 1 shingles, and the
-   prefixes of the order seldom hold what many documents share.
-3. Sets that share a prefix shingle and lie in one size band are candidates. First, in a few rounds, each set meets one set
-   only, the one with which it shares most; what links is one component. Only candidates in different components
-   remain, and they meet in tiles of TILE sets, so a shingle of many sets is many tiles.
-4. Hashed bitmaps bound the overlap from above by bit counts: a bit that only one set has stands for a shingle that the
-   other lacks. Pairs that pass meet with their sorted sets, and the intersection decides.
+   Any such order is exact: the first common shingle of sets that link is one of the first n - ceil(PERCENT n / 100) + 1 of
+   the larger set and one of the still fewer of the smaller one from which an overlap of two sets of its size has room.
+3. Sets meet by shingle and size band, each set in its own band and as a visitor in the band below. A cell (shingle, band)
+   is cut into tiles of about TILE sets. Within a tile, the places of the common shingle bound the overlap, and then hashed
+   bitmaps do by bit counts: a bit that only one set has stands for a shingle that the other lacks.
+4. In ROUNDS rounds a cell's sets are dealt to its tiles by lot, and each set is tested against one partner, that of the
+   largest overlap by the bitmaps' estimate: the sorted sets are intersected. What links is one component. Then only cells
+   of several components go on, and all pairs of different components that the bounds let pass are tested; the sets of a
+   cell's largest component don't meet each other, so a cell costs rows in proportion to it and to what is left of it.
 5. Components come from alternating large and small stars over the links.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component; a
@@ -28,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, byte_rows, mixed, pieces, shared_dir, written
+from .shared import SPACED, Words, byte_rows, dropped, mixed, narrowed, pieces, shared_dir, written
 
 #: Words of a shingle and similarity in percent, unless the caller says otherwise.
 SHINGLE, PERCENT = 5, 80
 BUCKET_BITS, BLOCKS = 20, 128
 TILE, GROUP, SALTS = 256, 256, 16
-ROUNDS = 3
-LEAST_BITS, MOST_BITS = 128, 8192
-#: Keys that name the documents to read again are broadcast up to so many, and else shuffled.
-MOST_KEYS = 2_000_000
+ROUNDS = 2
+LEAST_BITS, MOST_BITS = 128, 32768
+#: Pairs that a tile's arrays hold at once.
+AT_ONCE = 1 << 18
 KEY = "__row_key"
 _P = np.uint64(0x9FB21C651E98DF25)
 
@@ -74,8 +76,8 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Bits of the values' low ends; the width follows the size band, so a wider one can be folded on a narrower."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(len(values)).bit_length()))
+    """Bits of the values' low ends, two to four for each value; widths are powers of two, so a wider one can be folded on a narrower."""
+    width = min(MOST_BITS, max(LEAST_BITS, 2 << int(len(values)).bit_length()))
     bits = np.zeros(width, bool)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -96,6 +98,15 @@ def most_overlap(na, a: np.ndarray, nb, b: np.ndarray) -> np.ndarray:
     return np.minimum(na - only_a, nb - only_b)
 
 
+def estimated_overlap(na, a: np.ndarray, nb, b: np.ndarray) -> np.ndarray:
+    """Estimates of the overlaps: what only one set has is more than the bits that only it has, as others hide in the other's bits."""
+    width = 64 * a.shape[-1]
+    free_a, free_b = (np.maximum(1, width - np.bitwise_count(x).sum(-1, dtype=np.int64)) / width for x in (a, b))
+    only_a = np.bitwise_count(a & ~b).sum(-1, dtype=np.int64) / free_b
+    only_b = np.bitwise_count(b & ~a).sum(-1, dtype=np.int64) / free_a
+    return ((na - only_a) + (nb - only_b)) / 2
+
+
 def bucket_levels(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """For each hash bucket the logarithm of how many documents' shingles fall in it; a fixed number of bytes at any scale."""
     wide = (1 << BUCKET_BITS) // BLOCKS
@@ -148,31 +159,13 @@ def set_rows(docs: DataFrame, levels: np.ndarray, size: int = SHINGLE, percent:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(KEY).alias("key"), "text").mapInArrow(run, ROWS)
 
 
-def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose bitmaps leave room for a link."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), byte_rows(batch.column(4)), byte_rows(batch.column(5))):
-                wide = min(len(x), len(y))
-                good.append(most_overlap(na, folded(np.frombuffer(x, np.uint8), wide), nb, folded(np.frombuffer(y, np.uint8), wide)) >= needed(na, nb, percent))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
-
-
 def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link: the sets of all b of an a stream past that of a, in groups of about GROUP."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("ord"))
     heads = salts.select(F.col("a").alias("node"), "a", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.lit(0).alias("ord"))
-    wanted = written(members.unionByName(heads).join(nodes.select("node", "key"), "node"), "jaccard-wanted")
-    light = wanted.count() <= MOST_KEYS
-    wanted = wanted.withColumnRenamed("key", KEY)
-    texts = docs.select(KEY, "text").join(F.broadcast(wanted) if light else wanted, KEY).select("a", "salt", "ord", "node", "text")
+    wanted = written(members.unionByName(heads).join(nodes.select("node", F.col("key").alias(KEY)), "node"), "jaccard-wanted")
+    texts = narrowed(docs.select(KEY, "text"), wanted, KEY).join(wanted.hint("merge"), KEY).select("a", "salt", "ord", "node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
@@ -198,7 +191,9 @@ def exact_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int =
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     rows = texts.mapInArrow(sets, "a bigint, salt int, ord int, node bigint, values binary")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord").mapInArrow(meet, "a bigint, b bigint").distinct()
+    links = written(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord").mapInArrow(meet, "a bigint, b bigint").distinct(), "jaccard-links")
+    dropped(wanted)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,110 +208,194 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select("v", "m").where("v <> m").union(least.select("u", "m")).toDF("u", "v").distinct()
         small = written(small, "stars")
-        if small.exceptAll(edges).isEmpty() and small.count() == edges.count():
-            return small.select(F.col("u").alias("node"), F.col("v").alias("label")).union(small.select("v", "v").distinct())
+        done = small.exceptAll(edges).isEmpty() and small.count() == edges.count()
+        dropped(edges, large)
+        if done:
+            labels = written(small.select(F.col("u").alias("node"), F.col("v").alias("label")).union(small.select("v", "v").distinct()), "jaccard-labels")
+            dropped(small)
+            return labels
         edges = small
 
 
-def tiles(rows: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs (a, b) of rows (tok, node, n, label): equal tok, other label, room for a link by size and bitmap."""
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("tok").orderBy("n", "node")) - 1).withColumn("own", F.floor(F.col("r") / TILE).cast("int"))
-    blocks = ranked.groupBy("tok", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = blocks.select("tok", F.col("own").alias("y"), "low", "high")
-    meets = blocks.join(other.select("tok", "y", F.col("low").alias("low_y")), "tok").where(f"own <= y and 100 * high >= {percent} * low_y").select("tok", F.col("own").alias("x"), "y")
-    to = meets.select("tok", "x", "y", F.col("x").alias("own")).union(meets.where("x < y").select("tok", "x", "y", F.col("y").alias("own")))
-    dealt = ranked.join(to, ["tok", "own"]).join(nodes.select("node", "bits"), "node").select("tok", "x", "y", "own", "node", "n", "label", "bits")
+def cells_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(tok, cell, node, n, p, home): the sets of each cell (prefix shingle, size band) in which a pair may meet.
+
+    Sets that link lie in one band or in neighbouring ones; a set is at home in its own and visits the band below."""
+    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("p", "tok"))
+    # The smaller set of a pair, and so a home set, has the first common shingle in the room that an equal set would leave.
+    inside = F.col("p") <= F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent))
+    common = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.max(inside).alias("inside")).where("c > 1 and inside").select("tok")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.02 / percent))).cast("int")  # a little wide, against rounding
+    if percent >= 100:
+        band = F.col("n").cast("int")
+    rows = tokens.join(common, "tok", "left_semi").withColumn("band", band)
+    places = F.array(F.struct(F.col("band").alias("cell"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("cell"), F.lit(False).alias("home")))
+    rows = written(rows.select("tok", "node", "n", "p", F.inline(places)), "jaccard-places")
+    full = rows.groupBy("tok", "cell").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("home") & inside).alias("inside")).where("c > 1 and inside").select("tok", "cell", "c")
+    cells = written(rows.join(full, ["tok", "cell"]), "jaccard-cells")
+    dropped(rows)
+    return cells
+
+
+def met(rows: DataFrame, nodes: DataFrame, best: bool, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b, slack) of rows (tile, part, cross, node, n, p, home, label) of equal tile and other label that the bounds let pass.
+
+    Where `cross` is set, only rows of different part meet. `slack` is by how much, in units of 2**-16 of their size, the estimated
+    overlap is more than the needed one. With `best`, only the partner of most slack is given for each set of a tile."""
+    dealt = rows.join(nodes.select("node", "bits"), "node").select("tile", "part", "cross", "node", "n", "p", "home", "label", "bits")
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        batch = table.combine_chunks()
+        tile, part, cross, node, n, p, home, label = (batch.column(k).chunk(0).to_numpy(zero_copy_only=False) for k in range(8))
+        raw = batch.column(8).chunk(0)
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        data = np.frombuffer(raw.buffers()[2], np.uint8)
+        wide = np.diff(offsets)
+        inside = home & (p <= n - needed(n, n, percent))
+        ends = np.flatnonzero(np.append(tile[1:] != tile[:-1], True)) + 1
+        end = ends[np.searchsorted(ends, np.arange(len(tile)), "right")]
+        later = np.where(inside, end - np.arange(len(tile)) - 1, 0)
+        total = np.cumsum(later)
+        at = 0
+        while at < len(tile):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+            many = later[at:stop]
+            i = np.repeat(np.arange(at, stop), many)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + i + 1
+            at = stop
+            keep = (label[i] != label[j]) & (100 * n[i] >= percent * n[j]) & ~(cross[i] & (part[i] == part[j]))
+            i, j = i[keep], j[keep]
+            need = needed(n[i], n[j], percent)
+            keep = np.minimum(n[i] - p[i], n[j] - p[j]) >= need
+            i, j, need = i[keep], j[keep], need[keep]
+            width = np.minimum(wide[i], wide[j])
+            good, slack = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+            for w in np.unique(width).tolist():
+                mine = np.flatnonzero(width == w)
+                used, place = np.unique(np.concatenate((i[mine], j[mine])), return_inverse=True)
+                bits = np.empty((len(used), w), np.uint8)
+                for own in np.unique(wide[used]).tolist():
+                    these = np.flatnonzero(wide[used] == own)
+                    bits[these] = folded(data[offsets[used[these]][:, None] + np.arange(own)], w)
+                bits = bits.view(np.uint64)
+                step = max(1, (2 << 20) // w)
+                for k in range(0, len(mine), step):
+                    m = mine[k : k + step]
+                    x, y = bits[place[k : k + len(m)]], bits[place[len(mine) + k : len(mine) + k + len(m)]]
+                    good[m] = most_overlap(n[i[m]], x, n[j[m]], y) >= need[m]
+                    slack[m] = (estimated_overlap(n[i[m]], x, n[j[m]], y) - need[m]) * 65536 / n[j[m]]
+            i, j, slack = i[good], j[good], slack[good]
+            a, b = node[i], node[j]
+            if best:
+                a, b, slack = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((slack, slack))
+                order = np.lexsort((b, -slack, a))
+                order = order[np.append(True, a[order][1:] != a[order][:-1])] if len(a) else order
+                a, b, slack = a[order], b[order], slack[order]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(slack)], ["a", "b", "slack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs(final: bool):
-            if not held:
-                return
-            own = np.array([r[3] for r in held])
-            x, y = held[0][1], held[0][2]
-            first = np.flatnonzero(own == x)
-            second = np.flatnonzero(own == y)
-            n = np.array([r[5] for r in held])
-            label = np.array([r[6] for r in held])
-            node = np.array([r[4] for r in held])
-            wide = min(len(r[7]) for r in held)
-            bits = np.stack([folded(np.frombuffer(r[7], np.uint8), wide) for r in held])
-            a, b = [], []
-            for i in first.tolist():
-                js = second[second > i] if x == y else second
-                js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
-                if js.size:
-                    js = js[most_overlap(n[i], bits[i], n[js], bits[js]) >= needed(n[i], n[js], percent)]
-                    a += [int(node[i])] * len(js)
-                    b += node[js].tolist()
-            if a:
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), [bytes(r) for r in byte_rows(batch.column(7))]):
-                if held and held[0][:3] != row[:3]:
-                    yield from pairs(False)
-                    held.clear()
-                held.append(row)
-        yield from pairs(True)
+            tile = batch.column(0).to_numpy()
+            if not len(tile):
+                continue
+            cut = int(np.searchsorted(tile, tile[-1], "left"))  # the last tile may go on
+            if held and (cut or held[-1].column(0)[-1].as_py() != tile[0]):
+                yield from pairs(pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]))
+                held.clear()
+            elif cut:
+                yield from pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
 
-    return dealt.repartition("tok", "x", "y").sortWithinPartitions("tok", "x", "y", "own", "n", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.repartition("tile").sortWithinPartitions("tile", "n", "node").mapInArrow(run, "a bigint, b bigint, slack bigint")
+
+
+def labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The cells with the component of each set (that of a set without links is itself)."""
+    if labels is None:
+        return cells.withColumn("label", F.col("node"))
+    return cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def by_lot(cells: DataFrame, labels: DataFrame | None, lots: int) -> DataFrame:
+    """Tiles to which the sets of each cell of several components are dealt by lot."""
+    rows = labelled(cells, labels)
+    if labels is not None:
+        mixed_cells = rows.groupBy("tok", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tok", "cell")
+        rows = rows.join(mixed_cells, ["tok", "cell"], "left_semi")
+    lot = F.pmod(F.xxhash64("node", "tok", F.lit(lots)), F.ceil(F.col("c") / TILE))
+    return rows.select(F.xxhash64("tok", "cell", lot).alias("tile"), F.lit(0).alias("part"), F.lit(False).alias("cross"), "node", "n", "p", "home", "label")
+
+
+def by_rest(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Tiles in which all sets of different components meet: the blocks of a cell's largest component with those of the rest, and these with each other."""
+    rows = labelled(cells, labels)
+    sizes = rows.groupBy("tok", "cell", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = sizes.groupBy("tok", "cell").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    rows = rows.drop("c").join(tops, ["tok", "cell"])
+    rows = rows.withColumns({"tops": F.ceil(F.col("most") / TILE).cast("int"), "rests": F.ceil(F.col("rest") / TILE).cast("int"), "large": F.col("label") == F.col("top")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "tok"), F.when(F.col("large"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    # x: a block of the largest component, y: one of the rest; kind 1: two blocks of the rest.
+    large = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda y: F.struct(F.lit(0).alias("kind"), F.col("own").alias("x"), y.alias("y"), F.lit(0).alias("part")))
+    small = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("x"), F.col("own").alias("y"), F.lit(1).alias("part")))
+    others = F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda y: y != F.col("own"))
+    among = F.transform(others, lambda y: F.struct(F.lit(1).alias("kind"), F.least(y, F.col("own")).alias("x"), F.greatest(y, F.col("own")).alias("y"), (y < F.col("own")).cast("int").alias("part")))
+    rows = rows.select("tok", "cell", "node", "n", "p", "home", "label", F.inline(F.when(F.col("large"), large).otherwise(F.concat(small, among))))
+    # The sets of one block of the rest meet each other where the first block of the largest component comes.
+    cross = (F.col("kind") == 1) | (F.col("x") > 0)
+    return rows.select(F.xxhash64("tok", "cell", "kind", "x", "y").alias("tile"), "part", cross.alias("cross"), "node", "n", "p", "home", "label")
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(row, doc_id, key, n, component_id, head): head is true for one row of each component."""
     shared_dir(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn(KEY, F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    rows = set_rows(docs, bucket_levels(docs, size), size, percent)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
-    full = rows.where("n > 0")
+    whole = written(set_rows(docs, bucket_levels(docs, size), size, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    full = whole.where("n > 0")
     last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     classes = written(full.groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min(last).alias("least"), F.count(F.lit(1)).alias("times")), "jaccard-classes")
-    heads = classes.select("node")
-    nodes = full.join(heads, F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "n", "bits", "prefix")
-    tokens = nodes.select("node", "n", F.explode("prefix").alias("tok"))
-    by_token = Window.partitionBy("tok")
-    shared = tokens.withColumns({"g": F.count(F.lit(1)).over(by_token), "lead": F.min(F.struct("n", "node")).over(by_token)}).where("g > 1")
-    shared = written(shared.select("tok", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "jaccard-tokens")
-    nodes = written(nodes.drop("prefix").join(shared.select("node").distinct(), "node", "left_semi"), "jaccard-nodes")
-    edges, tested, labels = [], [], None
-    left = shared
+    nodes = written(full.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "n", "bits", "prefix"), "jaccard-nodes")
+    rows = written(whole.select("row", "doc_id", "key", "n", "s1", "s2"), "jaccard-rows")
+    dropped(whole)
+    cells = cells_of(nodes, percent)
+    links: list[DataFrame] = []
+    labels = None
     for k in range(ROUNDS):
-        if k:
-            named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token), "first": F.min(F.struct(F.xxhash64(F.col("label"), F.lit(k)).alias("o"), F.col("n").alias("n"), F.col("node").alias("node"), F.col("label").alias("label"))).over(by_token)}).where("low < high")
-            left = spread.select("tok", "node", "n", "label", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n"), F.col("first.label").alias("lead_label")).where("label <> lead_label")
-        near = left.where(f"node <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("votes"))
-        best = near.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("votes", "lead")).alias("a"))
-        pairs = written(bounded_pairs(best, nodes, percent), "jaccard-pairs")
-        if pairs.isEmpty():
-            break
-        tested.append(pairs)
-        found = written(exact_links(pairs, nodes, docs, size, percent), "jaccard-links")
-        edges.append(found)
-        labels = written(components(_union(edges)), "jaccard-labels")
+        best = met(by_lot(cells, labels, k), nodes, True, percent).groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))
+        labels = _joined(best, nodes, docs, size, percent, links, labels)
+    labels = _joined(met(by_rest(cells, labels), nodes, False, percent), nodes, docs, size, percent, links, labels)
+    grouped = classes
     if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    named = shared.select("tok", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = named.withColumns({"low": F.min("label").over(by_token), "high": F.max("label").over(by_token)}).where("low < high")
-    rest = tiles(written(spread.select("tok", "node", "n", "label"), "jaccard-tokens"), nodes, percent)
-    if tested:
-        done = _union(tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = rest.join(done, ["a", "b"], "left_anti")
-    rest = written(rest, "jaccard-pairs")
-    if not rest.isEmpty():
-        edges.append(written(exact_links(rest, nodes, docs, size, percent), "jaccard-links"))
-        labels = written(components(_union(edges)), "jaccard-labels")
-    grouped = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        grouped = grouped.withColumn("label", F.col("node"))
+    else:
+        grouped = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tops = grouped.groupBy("label").agg(F.min("least").alias("top"), F.sum("times").alias("members"))
-    named = grouped.join(tops, "label").where("members > 1").select("s1", "s2", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    light = rows.select("row", "doc_id", "key", "n", "s1", "s2", F.when(F.col("n") > 0, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(-1).alias("salt"))
-    done = light.join(named, ["s1", "s2", "salt"], "left")
+    named = grouped.join(tops, "label").where("members > 1").select("s1", "s2", "top")
+    named = written(named, "jaccard-named")
+    dropped(nodes, cells, classes, *links, *([labels] if labels else []))
+    salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    light = rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(-1 - F.pmod("row", F.lit(SALTS)).cast("int")))
+    done = light.join(salted, ["s1", "s2", "salt"], "left")
     return done.select("row", "doc_id", "key", "n", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.id")).alias("component_id"), (F.col("top").isNull() | (F.col("top.row") == F.col("row"))).alias("head"))
 
 
+def _joined(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, links: list[DataFrame], labels: DataFrame | None) -> DataFrame | None:
+    """The components with the links among these pairs, which are added to `links`."""
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    found = None if pairs.isEmpty() else exact_links(pairs, nodes, docs, size, percent)
+    dropped(pairs)
+    if found is None or found.isEmpty():
+        return labels
+    links.append(found)
+    more = components(_union(links))
+    if labels is not None:
+        dropped(labels)
+    return more
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

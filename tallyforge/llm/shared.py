@@ -9,17 +9,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: An Arrow batch is cut into pieces of about this many bytes of text, so a task's Python memory is bounded by it and by its longest text.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a new temporary one, if one machine is all there is."""
     # A union may otherwise count as partitioned like its parts, though their partitions are coalesced apart.
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,7 +33,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() whose last reader has been written."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A filter by key may send 2**MASK_BITS numbers to every task.
+MASK_BITS = 20
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be among `wanted`'s (all that are, some that are not), or with left_anti those whose key is not.
+
+    Only the low bits of the keys are sent, so the broadcast table is bounded at any scale; what is left may be joined in a shuffle."""
+    low = F.col(key).bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    return rows.join(F.broadcast(wanted.select(low.alias("__low")).distinct()), low == F.col("__low"), how)
 
 
 def flat_type(kind: pa.DataType) -> bool:
@@ -136,6 +162,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
-
-def as_binary(rows: list[bytes]) -> pa.Array:
-    return pa.array(rows, pa.binary())

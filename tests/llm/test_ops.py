@@ -233,9 +233,10 @@ def test_ngram_components(docs, size, percent):
     assert sorted(got, key=key) == sorted(brute_components(corpus(), size, percent), key=key)
 
 
-def test_ngram_tiles_and_bounds(spark, monkeypatch):
-    """Without the rounds that meet one partner each, the tiles alone find all links, also of groups of several tiles."""
-    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_ngram_tiles_and_bounds(spark, monkeypatch, rounds):
+    """Without the rounds that test one partner each, the tiles alone find all links, also of groups of several tiles."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "TILE", 4)
     monkeypatch.setattr(ngram_join, "GROUP", 3)
     rows = [r for r in corpus() if r[1] and len(r[1]) < 5000][:110]

@@ -29,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, byte_rows, mixed, pieces, written
+from .shared import ALNUM, Words, byte_rows, dropped, mixed, narrowed, pieces, written
 
 MIN_WORDS, NEAR_WORDS, EDITS = 3, 8, 1
 SALTS = 16
-#: Line numbers that a join may send to every task: some tens of MB.
-MOST_SENT = 2_000_000
 
 _P = np.uint64(0xD6E8FEB86659FD93)
 _P_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -194,12 +192,6 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "ord bigint, key bigint, line int")
 
 
-def _light(rows: DataFrame, lists: str) -> DataFrame:
-    """rows for a join with whole texts: broadcast if their lists hold at most MOST_SENT lines, shuffled otherwise."""
-    total = rows.agg(F.sum(F.size(lists))).first()[0] or 0
-    return F.broadcast(rows) if total <= MOST_SENT else rows
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEY: F.xxhash64(F.col("doc_id").cast("string"), "text"), ORD: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))})
 
@@ -215,9 +207,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     chosen = halves.join(shared, "k", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     chosen = written(chosen.withColumnRenamed("key", KEY), "line-chosen")
-    words = written(word_rows(docs.join(_light(chosen, "lines"), KEY)), "line-words")
+    words = written(word_rows(narrowed(docs, chosen, KEY).join(chosen.hint("merge"), KEY)), "line-words")
+    dropped(chosen)
     # Numbers that follow the order of (ord, key, line): the earliest line of a group has the least.
+    unnumbered = words
     words = written(words.dropDuplicates(["key", "line"]).orderBy("ord", "key", "line").withColumn("lid", F.monotonically_increasing_id()), "line-words")
+    dropped(unnumbered)
     variants = variant_rows(words)
     # m: the earliest line of a word replaced, or of a word less; whole: the line that has the key's words itself.
     groups = variants.groupBy("k").agg(
@@ -232,15 +227,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     judged = judged.select("h1", "h2", F.struct("ord", "key", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     all_lines = lines.select("h1", "h2", "ord", "key", "line", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
     gone = all_lines.join(judged, ["h1", "h2", "salt"]).where(F.col("near") | (F.struct("ord", "key", "line") != F.col("first")))
-    return gone.groupBy(F.col("key").alias(KEY)).agg(F.sort_array(F.collect_set("line")).alias("__gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("__near"))
+    gone = written(gone.groupBy(F.col("key").alias(KEY)).agg(F.sort_array(F.collect_set("line")).alias("__gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("__near")), "line-gone")
+    dropped(lines, kinds, words)
+    return gone
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All rows: their columns with the text less its removed lines, and n_lines, n_removed and n_near (which replace such columns)."""
     docs = docs.drop("n_lines", "n_removed", "n_near")
     columns, at = docs.columns, docs.columns.index("text")
-    gone = written(removed_lines(docs), "line-gone")
-    found = keyed(docs).join(_light(gone, "__gone"), KEY, "left").select(*columns, "__gone", "__near")
+    gone, rows = removed_lines(docs), keyed(docs)
+    # Only documents that may lose lines are shuffled.
+    found = narrowed(rows, gone, KEY).join(gone.hint("merge"), KEY, "left").select(*columns, "__gone", "__near")
+    found = found.union(narrowed(rows, gone, KEY, "left_anti").select(*columns, F.lit(None).cast("array<int>").alias("__gone"), F.lit(None).cast("bigint").alias("__near")))
     k = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

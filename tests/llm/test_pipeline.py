@@ -70,6 +70,21 @@ def test_pieces_stage(stages):
         assert r["lossless"] and encoder.decode(r["token_ids"]).decode() == r["text"] and r["n_tokens"] == len(r["token_ids"])
 
 
+def test_columns_keep_their_values(spark):
+    """Columns named like those that operators make, null ids, repeated rows and a long text pass the stages unchanged."""
+    draw = "the river ran deep and the stone was blue in the light of an old lamp that nobody had seen for years".split()
+    texts = [" ".join(draw[(i * k) % len(draw)] + str(i * k % 7) for k in range(60 + i)) for i in range(12)]
+    rows = [(i, t, "en", float(-i), i + 1, f"h{i}", [f"x{i}"]) for i, t in enumerate(texts)]
+    rows += [(None, texts[2] + " more of it", "en", -50.0, 99, None, None), rows[3], rows[3], (50, " ".join(f"long{k}" for k in range(60000)), None, None, 7, "h", None), (51, None, "en", 1.0, 2, "n", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double, n_lines bigint, hit_words string, hit_items array<string>").repartition(3)
+    want = {(r[0], *r[3:6], tuple(r[6] or ())) for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, SF)
+        found = [(r["doc_id"], r["score"], r["n_lines"], r["hit_words"], tuple(r["hit_items"] or ())) for r in docs.collect()]
+        assert found and set(found) <= want and docs.columns == ["doc_id", "text", "lang", "score", "n_lines", "hit_words", "hit_items"], name
+        assert (50, None, 7, "h", ()) in found
+
+
 def test_columns_and_empty(spark, stages):
     for rows in stages[:5]:
         assert not rows or list(rows[0]) == COLUMNS

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,26 +36,27 @@ BUNDLE_BYTES = 1 << 20
 SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
 
-BUNDLES = "bundle_id string, bundle binary, records array<struct<record_id:string,page_id:bigint,frame:int,offset:int,length:int>>"
+BUNDLES = "bundle_id string, bundle binary, records array<struct<record_id:string,page_id:bigint,digest:string,frame:int,offset:int,length:int>>"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}"
+def record_id(kind: str, part: int, number: int) -> str:
+    """The identifier of a record, from where it is written: no two are equal, also of rows whose page_id repeats or is null."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}/{part}/{number}')}"
 
 
-def make_record(page_id, url: bytes, payload: bytes, length: int, digest: str, refers_to, date: str = DATE) -> bytes:
-    """One WARC/1.1 record; refers_to is None in a response. A url's control bytes and spaces are percent-coded."""
+def make_record(own_id: str, page_id, url: bytes, payload: bytes, length: int, digest: str, refers_to, target_id: str = "", date: str = DATE) -> bytes:
+    """One WARC/1.1 record; refers_to (a page_id) is None in a response, target_id is the identifier of its record. A url's control bytes and spaces are percent-coded."""
     target = b"".join(b"%%%02X" % c if c <= 0x20 or c == 0x7F else bytes((c,)) for c in url)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{own_id}>", f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: application/http;msgtype=response",
         f"WARC-X-Page-Id: {'' if page_id is None else page_id}", f"WARC-X-Payload-Length: {length}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers_to)}>", f"WARC-X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{target_id}>", f"WARC-X-Refers-To-Page: {refers_to}"]
     lines = "\r\n".join(head).encode() + b"\r\nWARC-Target-URI: " + target
     return lines + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
 
@@ -105,26 +107,26 @@ def read_one(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str], by
 def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Each page with its payload, digest and refers_to (null: a response)."""
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("length", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha1("payload"))
+    rows = rows.withColumns({"length": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
     long = rows.where(F.col("length") >= min_revisit)
     heads = long.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1 and target is not null")
     heads = heads.select("d", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    salt = F.when(F.col("length") >= min_revisit, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1))
-    rows = rows.withColumn("salt", salt)
-    # Rows below the bound carry a salt that joins with nothing; their digests differ, so they spread.
+    # Rows below the bound, among which are all null and empty payloads, carry salts that join with nothing and spread them.
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("salt", F.when(F.col("length") >= min_revisit, part).otherwise(-1 - part))
     found = rows.join(heads, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     return found.select("page_id", "url", "payload", "length", "digest", F.expr("case when target is not null and not (page_id <=> target) then target end").alias("refers_to"))
 
 
-def bundled(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Bundles of the rows of typed(), one or more for each partition."""
+def bundled(rows: DataFrame, kind: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """Bundles of rows (page_id, url, payload, length, digest, refers_to, target_id), one or more for each partition."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
         frames: list[tuple[bytes, int]] = []
         index: list[dict] = []
         open_records: list[bytes] = []
-        held = 0
+        held, number, part = 0, 0, TaskContext.get().partitionId()
 
         def close_frame():
             nonlocal held
@@ -143,10 +145,11 @@ def bundled(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
             return out
 
         for batch in batches:
-            ids, urls, payloads, lengths, digests, refers = (batch.column(k) for k in range(6))
-            for page_id, url, payload, length, digest, to in zip(ids.to_pylist(), byte_rows(urls), byte_rows(payloads), lengths.to_pylist(), digests.to_pylist(), refers.to_pylist()):
-                record = make_record(page_id, bytes(url), b"" if to is not None else bytes(payload), length, digest, to)
-                index.append({"record_id": record_id(page_id), "page_id": page_id, "frame": len(frames), "offset": held, "length": len(record)})
+            ids, urls, payloads, lengths, digests, refers, targets = (batch.column(k) for k in range(7))
+            for page_id, url, payload, length, digest, to, target in zip(ids.to_pylist(), byte_rows(urls), byte_rows(payloads), lengths.to_pylist(), digests.to_pylist(), refers.to_pylist(), targets.to_pylist()):
+                own_id, number = record_id(kind, part, number), number + 1
+                record = make_record(own_id, page_id, bytes(url), bytes(payload), length, digest, to, target or "")
+                index.append({"record_id": own_id, "page_id": page_id, "digest": digest, "frame": len(frames), "offset": held, "length": len(record)})
                 open_records.append(record)
                 held += len(record)
                 if held >= frame_bytes:
@@ -159,7 +162,7 @@ def bundled(rows: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int =
     return rows.mapInArrow(write, BUNDLES)
 
 
-INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())]))
+INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())]))
 
 
 def read_back(bundles: DataFrame, payloads: bool = True) -> DataFrame:
@@ -188,9 +191,35 @@ def read_back(bundles: DataFrame, payloads: bool = True) -> DataFrame:
     return bundles.mapInArrow(read, RECORDS)
 
 
+def looked_up(bundles: DataFrame, record_ids: list[str]) -> DataFrame:
+    """(record_id, headers, payload) of the records named: of each bundle that holds one, only its frame is decompressed."""
+    wanted = [x.strip("<>") for x in record_ids]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, heads, payloads = [], [], []
+            for bundle, entries in zip(byte_rows(batch.column(0)), batch.column(1).to_pylist()):
+                for e in entries:
+                    found, payload = read_one(bytes(bundle), e["frame"], e["offset"])
+                    names.append(e["record_id"]), heads.append(list(found.items())), payloads.append(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.map_(pa.string(), pa.string())), pa.array(payloads, pa.binary())], ["record_id", "headers", "payload"])
+
+    named = F.filter("records", lambda r: r["record_id"].isin(wanted))
+    return bundles.select("bundle", named.alias("records")).where(F.size("records") > 0).mapInArrow(read, "record_id string, headers map<string,string>, payload binary")
+
+
 def archive(pages: DataFrame, **options) -> DataFrame:
-    """The bundles of all pages, written to the shared folder."""
-    return written(bundled(typed(pages, **options)), "warc")
+    """The bundles of all pages, written to the shared folder: the responses, and then the revisits, which name the responses' identifiers."""
+    rows = typed(pages, **options)
+    none = F.lit(None).cast("string").alias("target_id")
+    responses = written(bundled(rows.where("refers_to is null").select("*", none), "response"), "warc")
+    known = responses.select(F.inline("records")).groupBy(F.col("digest").alias("d"), F.col("page_id").alias("target")).agg(F.min("record_id").alias("target_id"))
+    again = rows.where("refers_to is not null").select("page_id", "url", F.lit(b"").alias("payload"), "length", "digest", "refers_to")
+    heads = known.join(again.select("digest", "refers_to").distinct(), (F.col("d") == F.col("digest")) & (F.col("target") == F.col("refers_to")), "left_semi")
+    heads = heads.select("d", "target_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    again = again.withColumn("s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    again = again.join(heads, (F.col("digest") == F.col("d")) & (again["s"] == heads["s"])).select("page_id", "url", "payload", "length", "digest", "refers_to", "target_id")
+    return responses.union(written(bundled(again, "revisit"), "warc"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

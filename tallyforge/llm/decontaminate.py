@@ -16,7 +16,6 @@ benchmark or an empty table gives no hits or no rows; columns of the documents s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -286,6 +285,21 @@ def without_spans(text: str, ranges: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All rows and columns of docs, their texts without the merged spans of words that stand in a benchmark window."""
+    names = docs.columns
+    found = located(docs.select(F.struct(*(f"`{c}`" for c in names)).alias("own"), "text"), benchmark, window).select("own", "text", "hit_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            texts = [without_spans(t, [(s["first"], s["behind"]) for s in hit]) if hit else t for t, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["own", "text"])
+
+    kind = found.schema["own"].dataType.simpleString()
+    rest = found.mapInArrow(run, f"own {kind}, text string")
+    return rest.select(*(F.col("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in names))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = located(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -299,10 +313,6 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 OP5_SQL = r"""
 with w as (
   select 'd' as k, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents

@@ -7,7 +7,7 @@ parted by an empty line, bulleted and numbered lists with indentation, preformat
 cells are aligned in columns.
 
 Defined results: null or empty html gives an empty text; elements nested deeper than MAX_DEPTH become siblings there, so
-that no text is lost; unclosed tags, comments and quotes end with the page; a cell wider than MAX_PAD pads no other;
+that no visible text is lost and hidden text stays hidden; unclosed tags, comments and quotes end with the page; a cell wider than MAX_PAD pads no other;
 repeated rows stay repeated; further columns are ignored.
 """
 
@@ -28,7 +28,7 @@ MAX_DEPTH, MAX_PAD = 200, 60
 # The sets of the HTML standard that the rules below need.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("area base head link meta noscript param rp script style template title datalist iframe noembed noframes svg math object audio video canvas source track".split())
+UNSEEN = frozenset("area base head link meta noscript param rp script style template title datalist iframe noembed noframes object audio video canvas source track defs desc metadata annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary ul xmp table caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure fieldset menu dir".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -39,6 +39,7 @@ IMPLIED = {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
 }
+FOREIGN = frozenset(("svg", "math"))
 SCOPES = frozenset("table td th caption template button html".split())
 
 TAG = re.compile(
@@ -92,11 +93,17 @@ def tree(page: str) -> Node:
     """The page's elements as a browser would nest them, as far as the text's layout needs it."""
     root = Node("body")
     stack, names = [root], ["body"]
+    over: list[bool] = []  # of the open elements deeper than MAX_DEPTH, whether their text is unseen
     at, end, quotes = 0, len(page), Quotes(page)
+
+    def cut(k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        del stack[k:], names[k:], over[max(0, k - MAX_DEPTH) :]
+
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
-        if text:
+        if text and not (over and over[-1]):
             stack[-1].kids.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -112,7 +119,7 @@ def tree(page: str) -> Node:
             elif name not in ("body", "html"):
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == name:
-                        del stack[k:], names[k:]
+                        cut(k)
                         break
                     if names[k] in ("td", "th", "table") and name not in ("td", "th", "tr", "thead", "tbody", "tfoot", "table"):
                         break
@@ -134,17 +141,19 @@ def tree(page: str) -> Node:
                 elif names[k] in stops:
                     break
             if low is not None:
-                del stack[low:], names[low:]
+                cut(low)
         elif name in ENDS_P and "p" in names:
             for k in range(len(names) - 1, 0, -1):
                 if names[k] == "p":
-                    del stack[k:], names[k:]
+                    cut(k)
                     break
                 if names[k] in SCOPES:
                     break
         node = Node(name, attrs)
-        stack[-1].kids.append(node)
-        if name in VOID or attrs.endswith("/>") and name in ("svg", "path"):
+        lost = bool(over and over[-1])
+        if not lost:
+            stack[-1].kids.append(node)
+        if name in VOID or attrs.endswith("/>") and any(x in FOREIGN for x in (name, *names)):  # only there a slash closes
             continue
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
@@ -155,9 +164,11 @@ def tree(page: str) -> Node:
                 m = TAG.search(page, at)
                 at = m.end() if m else end
             continue
+        names.append(name)
         if len(stack) < MAX_DEPTH:
             stack.append(node)
-            names.append(name)
+        else:
+            over.append(lost or unseen(name, attrs))
     return root
 
 
@@ -317,7 +328,7 @@ def _render(node: Node, out: Lines, deep: int = 0) -> None:
         else:
             for kid in node.kids:
                 _one(kid, out, deep + 1)
-            if name in ("td", "th", "button"):
+            if name in ("td", "th", "button", "text", "math"):
                 out.text(" ")
     if block:
         out.space() if name in SPACED else out.end()

@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Base: every place where the words of a license's name stand consecutively. The method: each line of a text is a block;
-a template (a notice's set of words) is found in a block that holds at least PERCENT of its words. Template words are
+Base: every place where the words of a license's name stand consecutively. The method: the whole text is laid out in
+blocks of BLOCK_WORDS words, a new one after every BLOCK_WORDS / 2, so that each run of words up to the longest template's
+length lies whole in a block, however its lines are wrapped and its comment signs drawn; a template (a notice's set of words)
+is found in a block that holds at least PERCENT of its words. Template words are
 ordered by how many blocks hold them, rarest first. A block that meets the threshold holds one of the template's
 first m - need + 1 words (prefix filter); it has `need` template words in all (length filter); and the places of the
 first shared word in both orders leave room for `need` common words (positional filter). What is left is
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 PERCENT = 90
+BLOCK_WORDS = 64
 
 # The names to be found, and public license notices.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -65,12 +68,18 @@ def places(words: Column, phrase: str) -> Column:
 
 
 def based(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """A row for each document: its base columns, and `blocks`: the template words of each line that has some."""
+    """A row for each document: its base columns, and `blocks`: the template words of each block that has some."""
+    longest = max(len(t.split()) for _, t in templates)
+    if 2 * longest > BLOCK_WORDS:
+        raise ValueError("a template is longer than half a block")
     vocabulary = strings(sorted({w for _, t in templates for w in t.split()}))
     low = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low"))
-    low = low.select("doc_id", words_of(F.col("low")).alias("words"), F.transform(F.split("low", "\n"), lambda line, i: F.struct(i.alias("line"), F.array_intersect(words_of(line), vocabulary).alias("held"))).alias("lines"))
+    low = low.select("doc_id", words_of(F.col("low")).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(BLOCK_WORDS // 2))
+    blocks = F.transform(starts, lambda i: F.struct(i.alias("block"), F.array_intersect(F.slice("words", i + 1, F.lit(BLOCK_WORDS)), vocabulary).alias("held")))
+    low = low.select("doc_id", "words", F.when(F.arrays_overlap("words", vocabulary), blocks).otherwise(F.array().cast("array<struct<block:int,held:array<string>>>")).alias("all_blocks"))
     each = [places(F.col("words"), phrase) for phrase, _ in BASE]
-    found = low.select("doc_id", F.size("words").cast("bigint").alias("n_words"), *(p.alias(f"p{k}") for k, p in enumerate(each)), F.filter("lines", lambda x: F.size(x["held"]) > 0).alias("blocks"))
+    found = low.select("doc_id", F.size("words").cast("bigint").alias("n_words"), *(p.alias(f"p{k}") for k, p in enumerate(each)), F.filter("all_blocks", lambda x: F.size(x["held"]) > 0).alias("blocks"))
     columns = [F.col(f"p{k}") for k in range(len(BASE))]
     every = F.concat(*columns)
     named = F.array_compact(F.array(*(F.when(F.size(p) > 0, F.lit(label)) for p, (_, label) in zip(columns, BASE))))
@@ -78,7 +87,7 @@ def based(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def matches(blocks: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """(row, line, label, containment) of every block of (row, line, held) that meets a template's threshold."""
+    """(row, block, label, containment) of every block of (row, block, held) that meets a template's threshold."""
     spark = blocks.sparkSession
     seen = {r["w"]: r["n"] for r in blocks.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the templates' words
     ordered = sorted({w for _, t in templates for w in t.split()}, key=lambda w: (seen.get(w, 0), w))
@@ -92,13 +101,13 @@ def matches(blocks: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> D
     prefixes = table.select("*", F.posexplode("prefix").alias("p", "w"))
     least = min(need for *_, need, _ in rows)
     first = strings(sorted({w for *_, prefix in rows for w in prefix}, key=rank.__getitem__))
-    sorted_blocks = blocks.where(F.size("held") >= least).select("row", "line", F.array_intersect(strings(ordered), "held").alias("held"))
-    probes = sorted_blocks.where(F.arrays_overlap("held", first)).select("row", "line", "held", F.posexplode("held").alias("q", "w"))
+    sorted_blocks = blocks.where(F.size("held") >= least).select("row", "block", F.array_intersect(strings(ordered), "held").alias("held"))
+    probes = sorted_blocks.where(F.arrays_overlap("held", first)).select("row", "block", "held", F.posexplode("held").alias("q", "w"))
     met = probes.join(F.broadcast(prefixes), "w")
     room = F.least("p", "q") + F.least(F.size("own") - F.col("p"), F.size("held") - F.col("q"))
     met = met.where((F.size("held") >= F.col("need")) & (room >= F.col("need")) & (F.get(F.array_intersect("prefix", "held"), F.lit(0)) == F.col("w")))
     overlap = F.size(F.array_intersect("own", "held"))
-    return met.where(overlap >= F.col("need")).select("row", "line", "label", (overlap / F.size("own")).alias("containment"))
+    return met.where(overlap >= F.col("need")).select("row", "block", "label", (overlap / F.size("own")).alias("containment"))
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -119,7 +128,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The base by word lists, the method by counting each line's distinct template words against all templates."""
+    """The base by word lists, the method by counting each block's distinct template words against all templates."""
     values = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in BASE)
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -131,7 +140,7 @@ ph as (select p, label, string_split(p, ' ') as pw from (values {phrases}) as v(
 hit as (select r, label, i - 1 as i from w, ph, unnest(range(1, len(ws) - len(pw) + 2)) as t(i) where list_contains(ws, pw[1]) and ws[i:i + len(pw) - 1] = pw),
 b as (select r, count(*) as n, min(i) as f, max(i) as l, list_sort(list_distinct(list(label))) as labels from hit group by 1),
 tp as (select k, label, list_distinct(string_split(x, ' ')) as tw from (values {values}) as v(k, label, x)),
-ln as (select r, line, regexp_extract_all(line, {word}) as lw from d, unnest(string_split(low, chr(10))) as t(line)),
+ln as (select r, ws[i + 1:i + {BLOCK_WORDS}] as lw from w, unnest(range(0, len(ws), {BLOCK_WORDS // 2})) as t(i)),
 m as (select r, label, len(list_intersect(tw, lw)) / len(tw) as c from ln, tp where len(list_intersect(tw, lw)) * 100 >= {PERCENT} * len(tw)),
 g as (select r, list(label) as more, max(c) as most from m group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_base, cast(f as bigint) as first_word, cast(l as bigint) as last_word,

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_rows, pieces
+from .shared import byte_rows, pieces, written
 
 BLOCK, RATE = 576, 8000
 PIECE = 4 << 20
 #: Frames that are encoded in one step, so that its arrays stay in the processor's cache.
 AT_ONCE = 256
 LPC_ORDER, LPC_BITS = 4, 12
-#: A frame is predicted only where that saves this share of it; else its samples are kept as they are, which decodes faster.
+#: A frame is predicted only where that saves this share of it; else its samples are kept as they are (a verbatim subframe).
 MIN_GAIN = 1 / 32
 
 
@@ -533,4 +533,4 @@ OP8 = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "me
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return summaries(encode_column(documents, "text", ["doc_id"]))
+    return summaries(written(encode_column(documents, "text", ["doc_id"]), "flac-media"))

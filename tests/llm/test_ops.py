@@ -94,8 +94,15 @@ def test_warc_round_trip(spark):
         top = max((j for j in same if j is not None), default=None) if len(p) >= 1000 else None
         want.append((i or -1, len(p), hashlib.sha1(p).hexdigest(), "revisit" if top is not None and i != top else "response", top if top is not None and i != top else None))
     assert got == sorted(want)
+    every = [e["record_id"] for b in bundles.collect() for e in b["records"]]
+    assert len(set(every)) == len(rows)  # also of rows whose page_id repeats or is null
+    found = warc.looked_up(bundles, every[:3]).collect()
+    assert sorted(r["record_id"] for r in found) == sorted(every[:3]) and all(r["headers"]["warc-record-id"] == f"<{r['record_id']}>" for r in found)
+    responses = {f"<{e['record_id']}>" for b in bundles.collect() for e in b["records"] if warc.read_one(bytes(b["bundle"]), e["frame"], e["offset"])[0]["warc-type"] == "response"}
     for b in bundles.collect():
         for e in b["records"]:
+            to = warc.read_one(bytes(b["bundle"]), e["frame"], e["offset"])[0].get("warc-refers-to")
+            assert to is None or to in responses
             heads, _ = warc.read_one(bytes(b["bundle"]), e["frame"], e["offset"])
             assert heads["warc-record-id"] == f"<{e['record_id']}>"
             assert len(base64.b32decode(heads["warc-payload-digest"][5:])) == 20
@@ -299,6 +306,10 @@ def test_decontamination(spark, docs, empty):
             if hit:
                 rest = decontaminate.without_spans(r["text"], [(s["first"], s["behind"]) for s in r["hit_spans"]])
                 assert words(rest, ALNUM) == [x for k, x in enumerate(own) if k not in hit]
+    clean = {(r["doc_id"], r["before"], r["hit_spans"]): r["text"] for r in decontaminate.cleaned(docs.withColumns({"before": F.col("text"), "hit_spans": F.lit("own")}), bench).collect()}
+    for r in got:
+        want = decontaminate.without_spans(r["text"], [(s["first"], s["behind"]) for s in r["hit_spans"]]) if r["hit_spans"] else r["text"]
+        assert clean[r["doc_id"], r["text"], "own"] == want
     assert decontaminate.located(empty, bench).count() == 0
     assert not decontaminate.located(docs, bench.limit(0)).where("hit_words > 0").count()
 
@@ -331,7 +342,8 @@ def test_codewords_differ():
 
 
 def test_licenses(spark, empty):
-    texts = ["Under the MIT License. MIT license!", "x\ngnu General\nPublic license", "Licensed under CC BY-NC 4.0.", None, "", "released under the mit licence", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "cc by cc by", "apache license " * 5000]
+    texts = ["Under the MIT License. MIT license!", "x\ngnu General\nPublic license", "Licensed under CC BY-NC 4.0.", None, "", "released under the mit licence", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "cc by cc by", "apache license " * 5000,
+             "x " * 45 + "\n# Permission is hereby granted, free of charge, to any person obtaining\n#   a copy of this software and associated\n * documentation files" + " y" * 70, "this program\n\nis free " + "z " * 40 + "software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"]
     rows = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id bigint, text string, held string")).collect()}
     for i, t in enumerate(texts):
         w = words(t, ALNUM)
@@ -340,8 +352,11 @@ def test_licenses(spark, empty):
         assert (r["n_words"], r["n_base"]) == (len(w), len(at))
         assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
         assert r["base_labels"] == ",".join(sorted({label for _, label in at}))
-        more = {label for label, x in licenses.TEMPLATES for line in (t or "").split("\n") if 100 * len(set(x.split()) & set(words(line, ALNUM))) >= 90 * len(set(x.split()))}
+        more = {label for label, x in licenses.TEMPLATES for k in range(0, len(w), 32) if 100 * len(set(x.split()) & set(w[k : k + 64])) >= 90 * len(set(x.split()))}
         assert r["labels"] == ",".join(sorted({label for _, label in at} | more))
+    assert rows[9]["labels"] == "mit" and rows[9]["score"] > 0.99  # a notice wrapped over commented lines
+    again = licenses.scanned(spark.createDataFrame([(1, texts[9]), (1, texts[9]), (None, texts[9])], "doc_id bigint, text string")).collect()
+    assert [r["labels"] for r in again] == ["mit"] * 3
     assert licenses.scanned(empty).count() == 0
 
 
@@ -479,6 +494,9 @@ CASES = [
     ("<span style=\"visibility: hidden\">no</span>a &amp; b&nbsp;c", "a & b\xa0c"), ("<pre> x\n  y </pre>", " x\n  y"), ("<h1>T</h1>text<h2>U</h2>", "T\n\ntext\n\nU"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"), ("<b>bo</b>ld <i>it</i>", "bold it"), ("<title>no</title><body>yes", "yes"), ("<a href='x>y'>link</a>", "link"), ("a < b", "a < b"),
     ("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>", "wide\na  b"), ("<select><option>o<option>p</select>", "o\np"), ("unclosed <b>x", "unclosed x"), ("<!-- open", ""),
+    ("a <svg><title>t</title><defs><text>no</text></defs><text>chart label</text><path d='M0'/><text>two</text></svg> b", "a chart label two b"),
+    ("<p><math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"), ("<svg/>after<p>b", "after\n\nb"),
+    ("<div>" * 250 + "in<div hidden>no<b>no</b></div>out" + "</div>" * 250 + "end", "inout\nend"), ("<div>" * 190 + "<div hidden>" + "<div>" * 30 + "no</div></div>no" + "</div>" * 219 + "yes", "yes"),
 ]
 
 

@@ -28,7 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 1, 4
 SIGN = "▁"
 #: Cut units that a task remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 SMALL = 24
 _M = (1 << 64) - 1
 _WIDE, _NONE, _UNKNOWN = 1 << 26, 1 << 40, 1 << 25
@@ -294,43 +294,56 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
 
-def encoded(docs: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
-    """All columns of docs, and token_ids."""
-    docs = docs.drop("token_ids")
+def _with_tokens(batch: pa.RecordBatch, encoder: Encoder, at: int) -> pa.RecordBatch:
+    ids, firsts = encoder.encode_rows(byte_rows(batch.column(at)))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(firsts.astype(np.int32), pa.array(ids, pa.int32()))], [*batch.schema.names, "token_ids"])
+
+
+def _with_plain(batch: pa.RecordBatch, encoder: Encoder, at: int, ids: int) -> pa.RecordBatch:
+    column = batch.column(ids)
+    flat, cuts = column.flatten().to_pylist(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    out, same = [], []
+    for raw, a, b in zip(byte_rows(batch.column(at)), cuts.tolist(), cuts[1:].tolist()):
+        plain = encoder.decode(flat[a:b])
+        out.append(hashlib.sha256(plain).hexdigest())
+        same.append(plain == raw)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(np.diff(cuts).astype(np.int64)), pa.array(same, pa.bool_())], [*batch.schema.names, "decoded_sha256", "n_tokens", "lossless"])
+
+
+TOKENS, PLAIN = ("token_ids",), ("decoded_sha256", "n_tokens", "lossless")
+TYPES = {"token_ids": "array<int>", "decoded_sha256": "string", "n_tokens": "bigint", "lossless": "boolean"}
+
+
+def _mapped(docs: DataFrame, encoder: Encoder, text: str, encode: bool, decode: bool) -> DataFrame:
+    made = TOKENS * encode + PLAIN * decode
+    docs = docs.drop(*made)
     sent = docs.sparkSession.sparkContext.broadcast(encoder)
-    at = docs.columns.index(text)
+    at, ids = docs.columns.index(text), len(docs.columns) if encode else docs.columns.index("token_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = sent.value
         for batch in pieces(batches, text, 2 << 20):
-            ids, firsts = encoder.encode_rows(byte_rows(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(firsts.astype(np.int32), pa.array(ids, pa.int32()))], [*batch.schema.names, "token_ids"])
+            batch = _with_tokens(batch, sent.value, at) if encode else batch
+            yield _with_plain(batch, sent.value, at, ids) if decode else batch
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "token_ids array<int>"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"{c} {TYPES[c]}" for c in made)]))
+
+
+def encoded(docs: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
+    """All columns of docs, and token_ids."""
+    return _mapped(docs, encoder, text, True, False)
 
 
 def decoded(docs: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
-    """All columns of docs, and decoded_sha256, n_tokens and lossless (whether the tokens decode to the bytes of `text`)."""
-    docs = docs.drop("decoded_sha256", "n_tokens", "lossless")
-    sent = docs.sparkSession.sparkContext.broadcast(encoder)
-    at, ids = docs.columns.index(text), docs.columns.index("token_ids")
+    """All columns of docs, and decoded_sha256, n_tokens and lossless (whether token_ids decode to the bytes of `text`)."""
+    return _mapped(docs, encoder, text, False, True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = sent.value
-        for batch in pieces(batches, text, 2 << 20):
-            column = batch.column(ids)
-            flat, cuts = column.flatten().to_pylist(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            out, same = [], []
-            for raw, a, b in zip(byte_rows(batch.column(at)), cuts.tolist(), cuts[1:].tolist()):
-                plain = encoder.decode(flat[a:b])
-                out.append(hashlib.sha256(plain).hexdigest())
-                same.append(plain == raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array(np.diff(cuts).astype(np.int64)), pa.array(same)], [*batch.schema.names, "decoded_sha256", "n_tokens", "lossless"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "decoded_sha256 string, n_tokens bigint, lossless boolean"]))
+def round_trip(docs: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
+    """decoded(encoded(docs)) in one pass, by one worker for each task."""
+    return _mapped(docs, encoder, text, True, True)
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = Encoder()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decoded(encoded(docs, encoder), encoder).select("doc_id", "n_tokens", "token_ids", "decoded_sha256", "lossless")
+    return round_trip(docs, encoder).select("doc_id", "n_tokens", "token_ids", "decoded_sha256", "lossless")

@@ -180,7 +180,10 @@ def test_edit_distance_bound():
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 0.9])
 def test_pieces_decode_losslessly(docs, dropout):
     encoder = pieces_bpe.Encoder(dropout=dropout)
-    rows = pieces_bpe.decoded(pieces_bpe.encoded(docs, encoder), encoder).collect()
+    clash = docs.withColumns({"token_ids": F.lit("x"), "lossless": F.lit(1)})
+    rows = pieces_bpe.decoded(pieces_bpe.encoded(clash, encoder), encoder).collect()
+    assert sorted(map(repr, pieces_bpe.round_trip(clash, encoder).collect())) == sorted(map(repr, rows))
+    assert pieces_bpe.round_trip(docs.limit(0), encoder).count() == 0
     assert len(rows) == len(corpus()) and all(r["lossless"] for r in rows)
     assert all((r["n_tokens"] == 0) == (not r["text"]) for r in rows)
 

@@ -53,7 +53,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Adds the tokens of each text (none for a null or empty one), and whether they decode to it, in columns that replace such
     of the same names; all rows stay."""
     encoder = pieces_bpe.Encoder()
-    return pieces_bpe.decoded(pieces_bpe.encoded(docs, encoder), encoder)
+    return pieces_bpe.round_trip(docs, encoder)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, Words, byte_rows, dropped, mixed, narrowed, pieces, written
+from .shared import ALNUM, Words, byte_rows, dropped, freed, mixed, narrowed, pieces, written
 
 MIN_WORDS, NEAR_WORDS, EDITS = 3, 8, 1
 SALTS = 16
@@ -203,6 +203,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("ord", "key", "line"))
     kinds = lines.groupBy("h1", "h2").agg(first.alias("first"), F.count(F.lit(1)).alias("times"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
     kinds = written(kinds.select("h1", "h2", "first.*", "times", "halves"), "line-kinds")
+    freed(docs.sparkSession)
     halves = kinds.select("ord", "key", "line", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     chosen = halves.join(shared, "k", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
@@ -213,6 +214,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     unnumbered = words
     words = written(words.dropDuplicates(["key", "line"]).orderBy("ord", "key", "line").withColumn("lid", F.monotonically_increasing_id()), "line-words")
     dropped(unnumbered)
+    freed(docs.sparkSession)
     variants = variant_rows(words)
     # m: the earliest line of a word replaced, or of a word less; whole: the line that has the key's words itself.
     groups = variants.groupBy("k").agg(
@@ -222,13 +224,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     partner = F.when(F.col("kind") == LESS, F.col("whole")).otherwise(F.col("m"))
     later = variants.join(groups, "k").withColumn("m", partner).where("lid > m").groupBy("lid").agg(F.min("m").alias("m"))
     pairs = later.join(words, "lid").join(words.select(F.col("lid").alias("m"), F.col("words").alias("other")), "m")
-    near = verified(pairs.select("ord", "key", "line", "words", "other")).withColumn("near", F.lit(True))
+    near = written(verified(pairs.select("ord", "key", "line", "words", "other")).withColumn("near", F.lit(True)), "line-near")
+    dropped(words)
+    freed(docs.sparkSession)
     judged = kinds.join(near, ["ord", "key", "line"], "left").where("times > 1 or near")
     judged = judged.select("h1", "h2", F.struct("ord", "key", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     all_lines = lines.select("h1", "h2", "ord", "key", "line", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
     gone = all_lines.join(judged, ["h1", "h2", "salt"]).where(F.col("near") | (F.struct("ord", "key", "line") != F.col("first")))
     gone = written(gone.groupBy(F.col("key").alias(KEY)).agg(F.sort_array(F.collect_set("line")).alias("__gone"), F.count_distinct(F.when(F.col("near"), F.col("line"))).alias("__near")), "line-gone")
-    dropped(lines, kinds, words)
+    dropped(lines, kinds, near)
+    freed(docs.sparkSession)
     return gone
 
 

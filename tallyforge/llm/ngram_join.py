@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACED, Words, byte_rows, dropped, mixed, narrowed, pieces, shared_dir, written
+from .shared import SPACED, Words, byte_rows, dropped, freed, mixed, narrowed, pieces, shared_dir, written
 
 #: Words of a shingle and similarity in percent, unless the caller says otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -234,6 +234,7 @@ def cells_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     full = rows.groupBy("tok", "cell").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("home") & inside).alias("inside")).where("c > 1 and inside").select("tok", "cell", "c")
     cells = written(rows.join(full, ["tok", "cell"]), "jaccard-cells")
     dropped(rows)
+    freed(nodes.sparkSession)
     return cells
 
 
@@ -360,6 +361,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     nodes = written(full.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi").select(F.col("row").alias("node"), "key", "n", "bits", "prefix"), "jaccard-nodes")
     rows = written(whole.select("row", "doc_id", "key", "n", "s1", "s2"), "jaccard-rows")
     dropped(whole)
+    freed(docs.sparkSession)
     cells = cells_of(nodes, percent)
     links: list[DataFrame] = []
     labels = None
@@ -375,7 +377,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     tops = grouped.groupBy("label").agg(F.min("least").alias("top"), F.sum("times").alias("members"))
     named = grouped.join(tops, "label").where("members > 1").select("s1", "s2", "top")
     named = written(named, "jaccard-named")
-    dropped(nodes, cells, classes, *links, *([labels] if labels else []))
+    freed(docs.sparkSession)
+    dropped(nodes, cells, classes, *links, *([] if labels is None else [labels]))
     salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     light = rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(-1 - F.pmod("row", F.lit(SALTS)).cast("int")))
     done = light.join(salted, ["s1", "s2", "salt"], "left")
@@ -387,6 +390,7 @@ def _joined(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perc
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
     found = None if pairs.isEmpty() else exact_links(pairs, nodes, docs, size, percent)
     dropped(pairs)
+    freed(nodes.sparkSession)
     if found is None or found.isEmpty():
         return labels
     links.append(found)

@@ -47,6 +47,11 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, whereupon Spark deletes the shuffle files of steps whose tables are written."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A filter by key may send 2**MASK_BITS numbers to every task.
 MASK_BITS = 20
 

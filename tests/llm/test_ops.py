@@ -397,6 +397,22 @@ def test_flac_streams():
         flac.decode_streams([bytes(broken)])
 
 
+def test_flac_seeks_and_misleading_samples():
+    """Any span of samples is read from its seek point on; samples that look like the next frame's header mislead nothing."""
+    draw = np.random.default_rng(6)
+    load = bytearray(draw.integers(0, 256, 576 * 50, np.uint8).tobytes())
+    for k in (2, 20, 40):
+        load[576 * k + 100 : 576 * k + 100 + len(flac.frame_header(k + 1))] = bytes(b ^ 0x80 for b in flac.frame_header(k + 1))
+    plain = (np.arange(576 * 40) % 97).astype(np.uint8).tobytes()
+    streams = flac.encode_payloads([bytes(load), plain, b"\xff" * 576])
+    assert [int.from_bytes(s[43:46], "big") // 18 for s in streams] == [4, 3, 1]
+    for s, p, got in zip(streams, (bytes(load), plain, b"\xff" * 576), flac.decode_streams(streams)):
+        want = np.frombuffer(p, np.uint8).astype(np.int64) - 128
+        assert (got[2] == want).all() and [f for f, _ in got[3]] == list(range(0, len(p), 576))
+        for first, count in ((0, 1), (575, 2), (9216, 576), (12_000, 5000), (len(p) - 1, 10), (len(p), 4), (0, len(p))):
+            assert flac.samples_at(s, first, count).tolist() == want[first : first + count].tolist()
+
+
 def bits_of(*fields):
     out = "".join(format(v & (1 << n) - 1, f"0{n}b") if n else "" for v, n in fields)
     return bytes(int(out[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(out), 8))

@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 5, 80
 BUCKET_BITS, BLOCKS = 20, 128
 TILE, GROUP, SALTS = 256, 256, 16
 ROUNDS = 2
+#: The prefix shingles meet in so many runs, one hash share after the other, so that only a share of them lies in shuffle files at once.
+RUNS = 2
 LEAST_BITS, MOST_BITS = 128, 32768
 #: Pairs that a tile's arrays hold at once.
 AT_ONCE = 1 << 18
@@ -217,11 +219,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def cells_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(tok, cell, node, n, p, home): the sets of each cell (prefix shingle, size band) in which a pair may meet.
+def cells_of(nodes: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
+    """(tok, cell, node, n, p, home): the sets of each cell (prefix shingle, size band) in which a pair may meet, as RUNS tables.
 
-    Sets that link lie in one band or in neighbouring ones; a set is at home in its own and visits the band below."""
-    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("p", "tok"))
+    Sets that link lie in one band or in neighbouring ones; a set is at home in its own and visits the band below. A cell
+    lies in one table whole."""
+    found = []
+    for run in range(RUNS):
+        tokens = nodes.select("node", "n", F.posexplode("prefix").alias("p", "tok")).where(F.pmod("tok", F.lit(RUNS)) == run)
+        found.append(_cells(tokens, percent))
+        freed(nodes.sparkSession)
+    return found
+
+
+def _cells(tokens: DataFrame, percent: int) -> DataFrame:
     # The smaller set of a pair, and so a home set, has the first common shingle in the room that an equal set would leave.
     inside = F.col("p") <= F.col("n") - F.floor((2 * percent * F.col("n") + 99 + percent) / (100 + percent))
     common = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.max(inside).alias("inside")).where("c > 1 and inside").select("tok")
@@ -231,10 +242,10 @@ def cells_of(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = tokens.join(common, "tok", "left_semi").withColumn("band", band)
     places = F.array(F.struct(F.col("band").alias("cell"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("cell"), F.lit(False).alias("home")))
     rows = written(rows.select("tok", "node", "n", "p", F.inline(places)), "jaccard-places")
+    freed(tokens.sparkSession)
     full = rows.groupBy("tok", "cell").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("home") & inside).alias("inside")).where("c > 1 and inside").select("tok", "cell", "c")
     cells = written(rows.join(full, ["tok", "cell"]), "jaccard-cells")
     dropped(rows)
-    freed(nodes.sparkSession)
     return cells
 
 
@@ -362,7 +373,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     rows = written(whole.select("row", "doc_id", "key", "n", "s1", "s2"), "jaccard-rows")
     dropped(whole)
     freed(docs.sparkSession)
-    cells = cells_of(nodes, percent)
+    runs = cells_of(nodes, percent)
+    cells = _union(runs)
     links: list[DataFrame] = []
     labels = None
     for k in range(ROUNDS):
@@ -378,7 +390,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     named = grouped.join(tops, "label").where("members > 1").select("s1", "s2", "top")
     named = written(named, "jaccard-named")
     freed(docs.sparkSession)
-    dropped(nodes, cells, classes, *links, *([] if labels is None else [labels]))
+    dropped(nodes, *runs, classes, *links, *([] if labels is None else [labels]))
     salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     light = rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(-1 - F.pmod("row", F.lit(SALTS)).cast("int")))
     done = light.join(salted, ["s1", "s2", "salt"], "left")

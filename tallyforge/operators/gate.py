@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,55 +15,55 @@ from ..sources.prices import SOURCE_A, SOURCE_B
 
 PUBLIC = (SOURCE_A, SOURCE_B)
 KEY, VALUE = r"^[A-Za-z0-9][A-Za-z0-9_.:+~*\-]{0,79}$", r"^[A-Za-z0-9][A-Za-z0-9_.:+~*\- ]{0,79}$"
-_KEY, _VALUE = re.compile(KEY), re.compile(VALUE)
+OPEN = ""
+KEYS = L.Rules([("unsafe key", f"^(?!{KEY[1:]})"), *L.DENY], OPEN)
+VALUES = L.Rules([(OPEN, PUBLIC), ("unsafe value", f"^(?!{VALUE[1:]})"), *L.DENY], OPEN, odd="unsupported type")
 
 
 class Withheld(Exception):
-    """Names the rule that was broken, never the value."""
-
-
-def check(value, at: str = "$"):
-    """The value itself if it may leave."""
-    if value is None or isinstance(value, bool):
-        return value
-    if isinstance(value, (int, float)):
-        if not math.isfinite(value):
-            raise Withheld(f"non-finite number at {at}")
-    elif isinstance(value, str):
-        if value not in PUBLIC:
-            _text(value, _VALUE, f"value at {at}")
-    elif isinstance(value, (list, tuple)):
-        for i, x in enumerate(value):
-            check(x, f"{at}[{i}]")
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            _text(k, _KEY, f"key under {at}")
-            check(v, f"{at}.{k}")
-    else:
-        raise Withheld(f"unsupported type at {at}")
-    return value
+    """Names the rule that was broken and the place, never the value."""
+
+
+def leaves(value) -> Iterator[tuple[str, L.Rules, object]]:
+    """(place, rules, leaf) of a nested value; a key is a leaf too, and comes before what is under it."""
+    todo = deque([("$", value)])
+    while todo:
+        at, x = todo.popleft()
+        if isinstance(x, dict):
+            for k, v in x.items():
+                yield at, KEYS, k
+                todo.append((f"{at}.{k}", v))
+        elif isinstance(x, (list, tuple)):
+            todo.extend((f"{at}[{i}]", v) for i, v in enumerate(x))
+        else:
+            yield at, VALUES, x
 
 
-def _text(s, shape: re.Pattern, where: str) -> None:
-    if not isinstance(s, str) or not shape.match(s):
-        raise Withheld(f"unsafe {where}")
-    if reason := L.unsafe(s):
-        raise Withheld(f"{reason} shape in {where}")
+def reason(rules: L.Rules, leaf) -> str:
+    """The rule that a leaf breaks; OPEN if it may leave. Numbers may if they are finite, and so may truth values and nulls as values."""
+    if rules is KEYS and not isinstance(leaf, str):
+        return "unsafe key"
+    if isinstance(leaf, (int, float)):
+        return OPEN if math.isfinite(leaf) else "non-finite number"
+    return rules.of(leaf)
+
+
+def check(value):
+    """The value itself if all of it may leave."""
+    for at, rules, leaf in leaves(value):
+        if broken := reason(rules, leaf):
+            raise Withheld(f"{broken} at {at}")
+    return value
 
 
 def clean(text: str, allowed: tuple[str, ...] = PUBLIC) -> str:
-    """Rendered text itself, if no withheld shape is in it."""
-    rest = text
-    for url in allowed:
-        rest = rest.replace(url, "")
-    if reason := L.unsafe(rest):
-        raise Withheld(f"{reason} shape in rendered output")
+    """Rendered text itself, if no withheld shape is in it besides the allowed addresses."""
+    if broken := L.unsafe(re.sub("|".join(map(re.escape, allowed)), "", text)):
+        raise Withheld(f"{broken} in rendered output")
     return text
 
 
 def violations(leaves: DataFrame) -> DataFrame:
     """The rows (path, key, value) of a flattened result that check() would refuse, with the reason."""
-    key, value = F.col("key"), F.col("value")
-    bad_value = F.when(value.isin(*PUBLIC), None).when(~value.rlike(VALUE), "unsafe value").otherwise(L.deny_reason(value))
-    reason = F.when(~key.rlike(KEY), "unsafe key").otherwise(F.coalesce(L.deny_reason(key), bad_value))
-    return leaves.withColumn("reason", reason).where("reason is not null")
+    found = [F.nullif(rules.column(F.col(c)), F.lit(OPEN)) for c, rules in (("key", KEYS), ("value", VALUES))]
+    return leaves.withColumn("reason", F.coalesce(*found)).where("reason is not null")

@@ -56,15 +56,65 @@ def test_scores(spark):
     assert replay.summary(replay.scored(df.limit(0))).first()["batches"] == 0
 
 
-def test_fenwick_sums():
-    draw = random.Random(2)
-    sums, plain = replay.Sums(50), [0.0] * 50
-    for _ in range(400):
-        i, v = draw.randrange(50), draw.random()
-        sums.add(i, v)
-        plain[i] += v
-        k = draw.randrange(51)
-        assert sums.before(k) == pytest.approx(sum(plain[:k]))
+def drawn_thread(draw):
+    n, m = draw.randrange(1, 40), draw.randrange(60)
+    entry = sorted(draw.randrange(n) for _ in range(m))
+    death = [draw.choice([n, draw.randrange(e + 1, n + 1)]) for e in entry]
+    tokens = [float(draw.choice([0, 400, 3_000, 9_000, 20_000])) for _ in entry]
+    billed, read = [int(draw.random() < 0.8) for _ in range(n)], [draw.choice([M, 2 * M]) for _ in range(n)]
+    calls = {"idx": list(range(n)), "wt": billed, "read_price": read, "write_price": [12.5 * M] * n, "out_price": [50 * M] * n}
+    calls["ctx"] = [5_000.0 + sum(t for t, e, d in zip(tokens, entry, death) if e <= j < d) for j in range(n)]
+    calls["cw"] = [sum(billed[:j]) for j in range(n)]
+    calls["cr_sum"] = [sum(b * r for b, r in zip(billed[:j], read)) for j in range(n)]
+    return calls, {"entry": entry, "tokens": tokens, "death": death, "evictable": [draw.random() < 0.6 for _ in entry]}
+
+
+def plain_batches(calls, items, choose):
+    """The replay call by call: every item looked at for each call, every sum added up anew."""
+    n, gone, found = len(calls["ctx"]), {}, []
+    every = list(zip(range(len(items["tokens"])), items["tokens"], items["entry"], items["death"], items["evictable"]))
+    for j in range(n - 1):
+        here = [x for x in every if x[2] <= j < x[3]]
+        standing = [x for x in here if x[0] not in gone]
+        context = calls["ctx"][j] - sum(x[1] for x in here if x[0] in gone)
+        going = choose(j, context, [x for x in standing if x[4]])
+        b = sum(x[1] for x in going)
+        gone |= {x[0]: j for x in going}
+        if going and b and calls["wt"][j + 1]:
+            later = lambda x: [k for k in range(j + 1, x[3]) if calls["wt"][k]]  # noqa: B023, E731
+            calls_left = sum(x[1] * len(later(x)) for x in going) / b
+            read = sum(x[1] * sum(calls["read_price"][k] for k in later(x)) for x in going) / b
+            suffix = max(0.0, context - b - sum(x[1] for x in standing if x[0] < going[0][0]))
+            found.append((j, b, suffix, calls_left, read, 12.5 * M, calls["read_price"][j + 1], len(going), context - b, 50 * M))
+    return found
+
+
+def test_replay_equals_a_plain_loop(spark):
+    def lease(j, context, outputs):
+        old = [x for x in outputs if x[1] >= 500 and x[2] + 3 <= j]
+        return old if sum(x[1] for x in old) >= 30_000 else []
+
+    def clearing(j, context, outputs):
+        old = outputs[: max(0, len(outputs) - 2)]
+        return old if context >= 60_000 and sum(x[1] for x in old) >= 15_000 else []
+
+    draw = random.Random(4)
+    threads = [drawn_thread(draw) for _ in range(80)]
+    batches = 0
+    for calls, items in threads:
+        for plain, policy in ((lease, replay.Lease()), (clearing, replay.Clearing(60_000, 2, 15_000))):
+            want, got = plain_batches(calls, items, plain), replay.replay_thread(calls, items, policy)
+            assert [tuple(r) for r in got] == [pytest.approx(r, rel=1e-9, abs=1e-9) for r in want]
+            batches += len(want)
+    assert batches > 50
+    columns = list(replay.CALL_COLUMNS)
+    c = [(f"t{k}", *map(float, r)) for k, (calls, _) in enumerate(threads) for r in zip(*(calls[x] for x in columns))]
+    i = [(f"t{k}", float(s), float(e), t, float(d), v) for k, (_, x) in enumerate(threads) for s, (e, t, d, v) in enumerate(zip(x["entry"], x["tokens"], x["death"], x["evictable"]))]
+    frames = spark.createDataFrame(c, ["path", *columns]), spark.createDataFrame(i, ["path", *replay.ITEM_COLUMNS])
+    got = replay.replayed(*frames, "lease").collect()
+    want = [(f"t{k}", *r) for k, t in enumerate(threads) for r in replay.replay_thread(*t, replay.Lease())]
+    assert sorted(tuple(r)[:2] for r in got) == sorted(w[:2] for w in want)
+    assert sum(r["b"] for r in got) == pytest.approx(sum(w[2] for w in want))
 
 
 def test_keepalive(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import flag, or0
@@ -37,6 +37,13 @@ def totals_a(costed: DataFrame) -> DataFrame:
     return sets.agg(F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.grouping_id().cast("bigint").alias("level"))
 
 
+def call_flags() -> list[Column]:
+    """Aggregates over calls: those without a price (un) and their tokens (un_tok), those in fast mode and those of one region."""
+    none = F.col("p_in").isNull()
+    tokens = F.col("inp") + F.col("cc") + F.col("cr") + F.col("out")
+    return [F.sum(flag(none)).alias("un"), F.sum(F.when(none, tokens).otherwise(0)).alias("un_tok"), F.count_if(F.col("speed") == "fast").alias("fast"), F.count_if(F.col("geo") == "us").alias("us")]
+
+
 def declined(costed: DataFrame) -> DataFrame:
     """(path, id, model, inp, cc, cc5, cc1, cr, out) of the attempts before the served one; a null model is the call's."""
     rows = costed.where("not copied and iters is not null").select("path", "id", F.col("model").alias("served"), F.inline("iters")).where("type = 'message'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_path, flag, or0, running
@@ -36,14 +36,18 @@ def anchored(events: DataFrame) -> DataFrame:
     return with_first.withColumn("start", F.coalesce(start, F.lit(0))).withColumn("live", F.col("pos") >= F.col("start")).drop("_first")
 
 
+def model_at(tag: str = "ctx") -> Column:
+    """The model named last, up to each event, by events with that tag."""
+    return F.last(F.when(F.col("tag") == tag, F.col("model")), ignorenulls=True).over(running("pos"))
+
+
 def folded(rows: DataFrame) -> DataFrame:
     """Live events with the state that each one meets.
 
     `opens` is 1 where a call begins: at the first response item after an input or a token count, and at a token count without such
     an item before it. `n_calls` counts calls up to and with the event. `model`, `window` and `turn` are as the call would take them."""
     events = anchored(numbered(rows))
-    filled = F.last(F.when(F.col("tag") == "ctx", F.col("model")), ignorenulls=True).over(running("pos"))
-    events = events.withColumn("model_now", filled)
+    events = events.withColumn("model_now", model_at())
     is_state = F.col("live") & F.col("tag").isin(*RESPONSE, "tc", *INPUT)
     state = F.when(F.col("tag").isin(*RESPONSE), "r").when(F.col("tag") == "tc", "t").otherwise("i")
     earlier = F.last(F.when(is_state, state), ignorenulls=True).over(by_path("pos").rowsBetween(Window.unboundedPreceding, -1))
@@ -110,8 +114,7 @@ def tools(events: DataFrame) -> DataFrame:
     placed = placed.withColumn("close_pos", F.coalesce(closes, F.lit(1 << 60)))
     spans = placed.select("path", "place", "close_pos").distinct()
     commands = made.where("tag = 'cmd'").select("path", F.col("pos").alias("at"), F.col("kind"), F.col("chars").alias("agg"))
-    met = commands.join(spans.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("place") < F.col("at")) & (F.col("at") < F.col("close_pos")))
-    owned = met.groupBy("path", "at", "kind", "agg").agg(F.max_by(F.struct("place", "close_pos"), "place").alias("x")).select("path", "at", "kind", "agg", F.col("x.close_pos").alias("pos"))
+    owned = latest_open(commands, spans).withColumnRenamed("close_pos", "pos").drop("place")
     listed = owned.groupBy("path", "pos").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "agg"))).alias("commands"))
     answered = answered.join(listed, ["path", "pos"], "left")
     spare = F.transform(F.coalesce("shells", F.array().cast("array<string>")), lambda k: F.struct(F.lit(0).cast("bigint").alias("at"), k.alias("kind"), F.lit(0).cast("bigint").alias("agg")))
@@ -121,6 +124,14 @@ def tools(events: DataFrame) -> DataFrame:
     return visible_shares(rows.select("path", "pos", "pl", "tool", "out_chars", "no_new", "part", F.col("c.kind").alias("kind"), F.col("c.agg").alias("agg")))
 
 
+def latest_open(commands: DataFrame, spans: DataFrame) -> DataFrame:
+    """commands (path, at, ...) with the place and the close_pos of the span (path, place, close_pos) that was opened last before them
+    and is still open; commands with none are left out."""
+    names = commands.columns
+    met = commands.join(spans.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("place") < F.col("at")) & (F.col("at") < F.col("close_pos")))
+    return met.groupBy(*names).agg(F.max_by(F.struct("place", "close_pos"), "place").alias("x")).select(*names, "x.place", "x.close_pos")
+
+
 def visible_shares(rows: DataFrame) -> DataFrame:
     """rows (path, pos, out_chars, kind, agg) with `vis`: the output's characters by the commands' sizes, each at least 1."""
     size = F.greatest(F.lit(1), "agg")

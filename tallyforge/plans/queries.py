@@ -80,14 +80,16 @@ def long_context_switch(spark, sf):
 
 @query(f"with {V.rated_a_sql()} select kind, cast(sum(case when p_in is null then 1 else 0 end) as bigint) as calls, cast(sum(case when p_in is null then inp + cc + cr + out else 0 end) as bigint) as tokens, cast(sum(case when speed = 'fast' then 1 else 0 end) as bigint) as fast_calls, cast(sum(case when geo = 'us' then 1 else 0 end) as bigint) as us_calls from rk group by 1")
 def unpriced_calls(spark, sf):
-    none = F.col("p_in").isNull()
-    return rated_a(spark, sf).groupBy("kind").agg(F.sum(none.cast("bigint")).alias("calls"), F.sum(F.when(none, F.col("inp") + F.col("cc") + F.col("cr") + F.col("out")).otherwise(0)).alias("tokens"), F.count_if(F.col("speed") == "fast").alias("fast_calls"), F.count_if(F.col("geo") == "us").alias("us_calls"))
+    return rated_a(spark, sf).groupBy("kind").agg(*ledger.call_flags()).withColumnsRenamed({"un": "calls", "un_tok": "tokens", "fast": "fast_calls", "us": "us_calls"}).withColumns(big("calls", "tokens", "fast_calls", "us_calls"))
 
 
 @query(f"with {V.rated_a_sql()}, t as (select model, sum(cost) as cost from rk group by 1) select cast(arg_max(model, cost) as varchar) as model, cast(max(cost) as bigint) as cost from t")
 def dominant_model(spark, sf):
-    t = rated_a(spark, sf).groupBy("model").agg(F.sum("cost").alias("cost"))
-    return t.agg(F.max_by("model", "cost").alias("model"), F.max("cost").alias("cost"))
+    from .scan import dominant
+
+    spend = {r["model"]: r["cost"] for r in rated_a(spark, sf).where("cost is not null").groupBy("model").agg(F.sum("cost").alias("cost")).collect()}
+    best = dominant(spend)
+    return spark.createDataFrame([(best, spend.get(best))], "model string, cost bigint")
 
 
 @query(f"""with {V.rates_a_sql()},
@@ -175,7 +177,7 @@ def implicit_windows(spark, sf):
 @query(f"with {V.EVENTS_B} select path, pos, last_value(case when tag = 'ctxmsg' then 'gpt-' || cast(k % 4 as varchar) end ignore nulls) over (partition by path order by pos rows unbounded preceding) as model from ep")
 def model_forward_fill(spark, sf):
     e = sessions_b.numbered(V.events_b(spark, sf))
-    return e.select("path", F.col("pos").cast("bigint").alias("pos"), F.last(F.when(F.col("tag") == "ctxmsg", F.col("model")), ignorenulls=True).over(running("pos")).alias("model"))
+    return e.select("path", F.col("pos").cast("bigint").alias("pos"), sessions_b.model_at("ctxmsg").alias("model"))
 
 
 @query(f"""with {V.EVENTS_B}, x as (select path, pos, k % 5 as id, case tag when 'call' then 'call' when 'out' then 'out' when 'ctxmsg' then 'cmd' end as step from ep where tag in ('call', 'out', 'ctxmsg')),
@@ -183,9 +185,9 @@ o as (select path, 'c' || pos as call_id, pos as open_pos, lead(pos, 3) over (pa
 m as (select x.path, x.pos, max(o.open_pos) as open_pos from x join o on x.path = o.path and o.open_pos < x.pos and x.pos < coalesce(o.close_pos, 1000000000000) where x.step = 'cmd' group by 1, 2) select path, pos, open_pos from m""")
 def lifo_open_match(spark, sf):
     e = sessions_b.numbered(V.events_b(spark, sf)).where("tag in ('call', 'out', 'ctxmsg')").select("path", F.col("pos").cast("bigint").alias("pos"), "tag")
-    opens = e.where("tag = 'call'").withColumn("close_pos", F.coalesce(F.lead("pos", 3).over(Window.partitionBy("path").orderBy("pos")), F.lit(1 << 60)))
-    met = e.where("tag = 'ctxmsg'").join(opens.select(F.col("path").alias("p"), F.col("pos").alias("open_pos"), "close_pos"), (F.col("path") == F.col("p")) & (F.col("open_pos") < F.col("pos")) & (F.col("pos") < F.col("close_pos")))
-    return met.groupBy("path", "pos").agg(F.max("open_pos").alias("open_pos"))
+    opens = e.where("tag = 'call'").select("path", F.col("pos").alias("place"), F.coalesce(F.lead("pos", 3).over(Window.partitionBy("path").orderBy("pos")), F.lit(1 << 60)).alias("close_pos"))
+    commands = e.where("tag = 'ctxmsg'").select("path", F.col("pos").alias("at"))
+    return sessions_b.latest_open(commands, opens).select("path", F.col("at").alias("pos"), F.col("place").alias("open_pos"))
 
 
 @query("""with a as (select event_id, user_id, value, ts, cast(regexp_extract(props, '(\\d+)', 1) as bigint) % 3 as k from events where event_type in ('click', 'view')), b as (select event_id, user_id, value, ts, cast(regexp_extract(props, '(\\d+)', 1) as bigint) % 3 as k from events where event_type = 'purchase'),
@@ -397,22 +399,30 @@ def boot_scope(spark, sf):
 
 @query("with u as (select count(distinct user_id) as threads, count(distinct case when user_id % 3 = 0 then user_id end) as sessions from events) select cast(threads as bigint) as threads, cast(sessions as bigint) as sessions, threads >= 20 and sessions >= 5 as meets from u")
 def sharing_minimum(spark, sf):
-    from .scan import MIN_SESSIONS, MIN_THREADS
+    from .scan import enough_to_share
 
     u = V.calls_a(spark, sf).agg(F.count_distinct("path").alias("threads"), F.count_distinct(F.when(F.col("kind") == "main", F.col("path"))).alias("sessions"))
-    return u.withColumn("meets", (F.col("threads") >= MIN_THREADS) & (F.col("sessions") >= MIN_SESSIONS))
+    return u.withColumn("meets", enough_to_share(F.col("threads"), F.col("sessions")))
 
 
 @query(f"with {V.rated_a_sql()}, f as (select model as id, sum(cost) - 2 * sum(c_output) as net from rk group by 1) select id, cast(net as bigint) as net from f where net > 0 order by net desc, id limit 3")
 def fix_topk(spark, sf):
     f = rated_a(spark, sf).groupBy(F.col("model").alias("id")).agg((F.sum("cost") - 2 * F.sum("c_output")).alias("net"))
-    return f.where("net > 0").orderBy(F.desc("net"), "id").limit(3)
+    from .scan import top_fixes
+
+    # As many sections as there are models: a report's size, not the data's.
+    sections = {r["id"]: {"fix": {"id": r["id"], "net_usd": r["net"], "clears_breakeven": True, "upper_bound": False}} for r in f.where("net is not null").orderBy("id").collect()}
+    return spark.createDataFrame([(x["id"], x["net_usd"]) for x in top_fixes(sections)], "id string, net bigint")
 
 
 @query(f"with {V.rated_a_sql()}, f as (select kind as id, sum(c_output) - sum(cost) as net from rk group by 1) select arg_min(id, net) as id, cast(min(net) as bigint) as net from f where net < 0")
 def costly_trick(spark, sf):
     f = rated_a(spark, sf).groupBy(F.col("kind").alias("id")).agg((F.sum("c_output") - F.sum("cost")).alias("net"))
-    return f.where("net < 0").agg(F.min_by("id", "net").alias("id"), F.min("net").alias("net"))
+    from .scan import costly_trick as worst
+
+    sections = {r["id"]: {"trick": {"id": r["id"], "net_usd": r["net"], "evaluated": True}} for r in f.where("net is not null").orderBy("id").collect()}
+    found = worst(sections) or {"id": None, "net_usd": None}
+    return spark.createDataFrame([(found["id"], found["net_usd"])], "id string, net bigint")
 
 
 # ---- labels

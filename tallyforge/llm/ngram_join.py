@@ -332,33 +332,35 @@ def labelled(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
     return cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def by_lot(cells: DataFrame, labels: DataFrame | None, lots: int) -> DataFrame:
-    """Tiles to which the sets of each cell of several components are dealt by lot."""
+def by_lot(cells: DataFrame, labels: DataFrame | None, lots: int, tile: int = TILE) -> DataFrame:
+    """Tiles to which the nodes of each cell of several components are dealt by lot; further columns of the cells stay."""
+    held = [c for c in cells.columns if c not in ("tok", "cell", "c", "node")]
     rows = labelled(cells, labels)
     if labels is not None:
         mixed_cells = rows.groupBy("tok", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tok", "cell")
         rows = rows.join(mixed_cells, ["tok", "cell"], "left_semi")
-    lot = F.pmod(F.xxhash64("node", "tok", F.lit(lots)), F.ceil(F.col("c") / TILE))
-    return rows.select(F.xxhash64("tok", "cell", lot).alias("tile"), F.lit(0).alias("part"), F.lit(False).alias("cross"), "node", "n", "p", "home", "label")
+    lot = F.pmod(F.xxhash64("node", "tok", F.lit(lots)), F.ceil(F.col("c") / tile))
+    return rows.select(F.xxhash64("tok", "cell", lot).alias("tile"), F.lit(0).alias("part"), F.lit(False).alias("cross"), "node", *held, "label")
 
 
-def by_rest(cells: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Tiles in which all sets of different components meet: the blocks of a cell's largest component with those of the rest, and these with each other."""
+def by_rest(cells: DataFrame, labels: DataFrame | None, tile: int = TILE) -> DataFrame:
+    """Tiles in which all nodes of different components meet: the blocks of a cell's largest component with those of the rest, and these with each other."""
+    held = [c for c in cells.columns if c not in ("tok", "cell", "c", "node")]
     rows = labelled(cells, labels)
     sizes = rows.groupBy("tok", "cell", "label").agg(F.count(F.lit(1)).alias("c"))
     tops = sizes.groupBy("tok", "cell").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
     rows = rows.drop("c").join(tops, ["tok", "cell"])
-    rows = rows.withColumns({"tops": F.ceil(F.col("most") / TILE).cast("int"), "rests": F.ceil(F.col("rest") / TILE).cast("int"), "large": F.col("label") == F.col("top")})
+    rows = rows.withColumns({"tops": F.ceil(F.col("most") / tile).cast("int"), "rests": F.ceil(F.col("rest") / tile).cast("int"), "large": F.col("label") == F.col("top")})
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", "tok"), F.when(F.col("large"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
     # x: a block of the largest component, y: one of the rest; kind 1: two blocks of the rest.
     large = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda y: F.struct(F.lit(0).alias("kind"), F.col("own").alias("x"), y.alias("y"), F.lit(0).alias("part")))
     small = F.transform(F.sequence(F.lit(0), F.col("tops") - 1), lambda x: F.struct(F.lit(0).alias("kind"), x.alias("x"), F.col("own").alias("y"), F.lit(1).alias("part")))
     others = F.filter(F.sequence(F.lit(0), F.col("rests") - 1), lambda y: y != F.col("own"))
     among = F.transform(others, lambda y: F.struct(F.lit(1).alias("kind"), F.least(y, F.col("own")).alias("x"), F.greatest(y, F.col("own")).alias("y"), (y < F.col("own")).cast("int").alias("part")))
-    rows = rows.select("tok", "cell", "node", "n", "p", "home", "label", F.inline(F.when(F.col("large"), large).otherwise(F.concat(small, among))))
+    rows = rows.select("tok", "cell", "node", *held, "label", F.inline(F.when(F.col("large"), large).otherwise(F.concat(small, among))))
     # The sets of one block of the rest meet each other where the first block of the largest component comes.
     cross = (F.col("kind") == 1) | (F.col("x") > 0)
-    return rows.select(F.xxhash64("tok", "cell", "kind", "x", "y").alias("tile"), "part", cross.alias("cross"), "node", "n", "p", "home", "label")
+    return rows.select(F.xxhash64("tok", "cell", "kind", "x", "y").alias("tile"), "part", cross.alias("cross"), "node", *held, "label")
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -64,6 +64,22 @@ def narrowed(rows: DataFrame, wanted: DataFrame, key: str, how: str = "left_semi
     return rows.join(F.broadcast(wanted.select(low.alias("__low")).distinct()), low == F.col("__low"), how)
 
 
+#: A key that more than one of so many rows hold is a hot one.
+HEAVY = 256
+
+
+def attached(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of `table`, a table of written() with one row for each key (nulls are equal) and its number of rows in `__times`.
+
+    Hot keys, of which there are less than HEAVY, are broadcast and their rows stay where they are; the rest meets in a shuffle."""
+    limit = (table.agg(F.sum("__times")).first()[0] or 0) // HEAVY
+    table = table.withColumnRenamed(key, "__key")
+    heavy, light = (F.broadcast(table.where(F.col("__times") > limit)), table.where(F.col("__times") <= limit))
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    hot = rows.join(heavy, same)
+    return hot.unionByName(rows.join(heavy, same, "left_anti").join(light, same)).drop("__key", "__times")
+
+
 def flat_type(kind: pa.DataType) -> bool:
     return pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
 

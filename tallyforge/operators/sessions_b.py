@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import POLL_TOOLS
 from .common import by_path, flag, or0, running
 
 RESPONSE, INPUT = ("reasoning", "call", "asst"), ("out", "ctxmsg", "agentmsg")
@@ -119,7 +120,7 @@ def tools(events: DataFrame) -> DataFrame:
     answered = answered.join(listed, ["path", "pos"], "left")
     spare = F.transform(F.coalesce("shells", F.array().cast("array<string>")), lambda k: F.struct(F.lit(0).cast("bigint").alias("at"), k.alias("kind"), F.lit(0).cast("bigint").alias("agg")))
     own = F.when(F.col("open_pos").isNull(), F.array().cast("array<struct<at:bigint,kind:string,agg:bigint>>")).otherwise(F.coalesce("commands", spare))
-    answered = answered.select("path", "pos", "pl", F.coalesce("tool", F.lit("unmatched")).alias("tool"), F.col("chars").alias("out_chars"), "no_new", "emitter", "open_pos", own.alias("own"))
+    answered = answered.select("path", "pos", "pl", F.coalesce("tool", F.lit("unmatched")).alias("tool"), F.col("chars").alias("out_chars"), (F.col("no_new") & F.coalesce(F.col("tool").isin(*POLL_TOOLS), F.lit(False))).alias("no_new"), "emitter", "open_pos", own.alias("own"))
     rows = answered.select("*", F.posexplode_outer("own").alias("part", "c"))
     return visible_shares(rows.select("path", "pos", "pl", "tool", "out_chars", "no_new", "part", F.col("c.kind").alias("kind"), F.col("c.agg").alias("agg")))
 
@@ -166,8 +167,6 @@ def mark_copied(made: DataFrame, recs: DataFrame, owned: DataFrame) -> tuple[Dat
 
 def polls(events: DataFrame, made: DataFrame) -> DataFrame:
     """(path, polls, no_input, no_new): polls whose emitting response is billed in the file."""
-    from ..functions.labels import POLL_TOOLS
-
     sent = events.where("live and tag = 'call'").where(F.col("tool").isin(*POLL_TOOLS)).withColumn("call_key", F.when(F.coalesce("call_id", F.lit("")) == "", F.concat(F.lit("anon"), F.col("pos").cast("string"))).otherwise(F.col("call_id")))
     sent = sent.select("path", "call_key", F.col("pos").alias("open_pos"), (F.col("n_calls") - 1).alias("raw"), "no_input")
     opened = events.where("live and tag = 'call'").select("path", F.when(F.coalesce("call_id", F.lit("")) == "", F.concat(F.lit("anon"), F.col("pos").cast("string"))).otherwise(F.col("call_id")).alias("call_key"), F.col("pos").alias("at"), F.lit(0).alias("closes"), F.lit(False).alias("no_new"))

@@ -38,7 +38,7 @@ def with_tails(rows: DataFrame) -> DataFrame:
 
 def prompts(rows: DataFrame) -> DataFrame:
     """(path, idx, key, uuid, last): the prompts of the transcript source's layout `prompts`, keyed; texts go no further."""
-    ends = rows.where("tag = 'file'").select("path", F.col("ts").alias("last"))
+    ends = rows.where("tag = 'file'").groupBy("path").agg(F.expr("max_by(ts, line) filter (where ts is not null)").alias("last"))
     found = with_tails(rows).withColumn("key", prompt_key(F.col("text"), F.col("tail")))
     idx = F.row_number().over(Window.partitionBy("path").orderBy("line")) - 1
     return found.withColumn("idx", idx).select("path", "idx", "key", "uuid").join(ends, "path", "left")

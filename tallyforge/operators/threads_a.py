@@ -29,13 +29,6 @@ def calls(rows: DataFrame) -> DataFrame:
     return found.withColumns({"idx": F.row_number().over(by_path("first_line")) - 1, "copied": F.lit(False)})
 
 
-def files(rows: DataFrame) -> DataFrame:
-    """(path, kind, last, state): one row for each file; state is whole, stopped, empty (nothing before the cutoff) or error."""
-    ends = rows.where("tag in ('file', 'error')")
-    state = F.when(F.col("tag") == "error", "error").when((F.col("item") == "stopped") & (F.col("sub") == "empty"), "empty").otherwise(F.col("item"))
-    return ends.select("path", "kind", F.col("ts").alias("last"), state.alias("state"), F.when(F.col("tag") == "error", F.col("item")).alias("error"))
-
-
 def items(rows: DataFrame, made: DataFrame) -> DataFrame:
     """(path, entry, seq, item, sub, chars, img_tok, use_id, tool, bash, src): what enters the context of call `entry`.
 

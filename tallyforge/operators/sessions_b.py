@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,10 +130,41 @@ def tools(events: DataFrame) -> DataFrame:
 
 def latest_open(commands: DataFrame, spans: DataFrame) -> DataFrame:
     """commands (path, at, ...) with the place and the close_pos of the span (path, place, close_pos) that was opened last before them
-    and is still open; commands with none are left out."""
+    and is still open; commands with none are left out.
+
+    Openings and commands of a session pass by in order. Those still open stand on a stack; a command takes closed ones off its top, as
+    no later command can meet them, so each span is pushed and popped once, whatever the order in which spans close. At one place a
+    command comes before an opening, and a span that closes there is closed."""
     names = commands.columns
-    met = commands.join(spans.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("place") < F.col("at")) & (F.col("at") < F.col("close_pos")))
-    return met.groupBy(*names).agg(F.max_by(F.struct("place", "close_pos"), "place").alias("x")).select(*names, "x.place", "x.close_pos")
+    own = F.struct(*(f"`{c}`" for c in names))
+    opened = spans.select("path", F.col("place").alias("_at"), F.lit(1).alias("_opens"), F.col("close_pos").alias("_close"), F.lit(None).cast(commands.select(own.alias("x")).schema["x"].dataType).alias("_own"))
+    asked = commands.select("path", F.col("at").alias("_at"), F.lit(0).alias("_opens"), F.lit(None).cast("bigint").alias("_close"), own.alias("_own"))
+    steps = opened.unionAll(asked)
+    steps = steps.withColumns({c: F.col(c).cast("bigint") for c in ("_at", "_close")}).where("path is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, stack = None, []
+        for batch in batches:
+            picked, places, closes = [], [], []
+            for i, (path, at, opens, close) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if path != session:
+                    session, stack = path, []
+                if opens:
+                    stack.append((at, close))
+                    continue
+                while stack and not stack[-1][1] > at:
+                    stack.pop()
+                if stack:
+                    picked.append(i)
+                    places.append(stack[-1][0])
+                    closes.append(stack[-1][1])
+            taken = batch.column(4).take(pa.array(picked, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, pa.array(places, pa.int64()), pa.array(closes, pa.int64())], ["own", "place", "close_pos"])
+
+    dealt = steps.where("_opens = 0 or _close is not null").repartition("path").sortWithinPartitions("path", "_at", "_opens", "_close")
+    kind = dealt.schema["_own"].dataType.simpleString()
+    found = dealt.select("path", "_at", "_opens", "_close", "_own").mapInArrow(run, f"own {kind}, place bigint, close_pos bigint")
+    return found.select(*(F.col(f"own.`{c}`").alias(c) for c in names), "place", "close_pos")
 
 
 def visible_shares(rows: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ BUNDLES = "bundle_id string, bundle binary, records array<struct<record_id:strin
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
-def record_id(kind: str, part: int, number: int) -> str:
-    """The identifier of a record, from where it is written: no two are equal, also of rows whose page_id repeats or is null."""
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}/{part}/{number}')}"
+def record_id(archive_id: str, kind: str, part: int, number: int, page_id, url: bytes, digest: str) -> str:
+    """The identifier of a record, from its archive, its place there and its content: no two are equal, also of rows whose page_id repeats
+    or is null, and of two archives of the same pages; a task that runs again gives the same."""
+    name = hashlib.sha1(f"{archive_id}/{kind}/{part}/{number}/{page_id}/{digest}/".encode() + url).hexdigest()
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}"
 
 
 def make_record(own_id: str, page_id, url: bytes, payload: bytes, length: int, digest: str, refers_to, target_id: str = "", date: str = DATE) -> bytes:
@@ -118,7 +120,7 @@ def typed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     return found.select("page_id", "url", "payload", "length", "digest", F.expr("case when target is not null and not (page_id <=> target) then target end").alias("refers_to"))
 
 
-def bundled(rows: DataFrame, kind: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+def bundled(rows: DataFrame, kind: str, archive_id: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Bundles of rows (page_id, url, payload, length, digest, refers_to, target_id), one or more for each partition."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +149,7 @@ def bundled(rows: DataFrame, kind: str, frame_bytes: int = FRAME_BYTES, bundle_b
         for batch in batches:
             ids, urls, payloads, lengths, digests, refers, targets = (batch.column(k) for k in range(7))
             for page_id, url, payload, length, digest, to, target in zip(ids.to_pylist(), byte_rows(urls), byte_rows(payloads), lengths.to_pylist(), digests.to_pylist(), refers.to_pylist(), targets.to_pylist()):
-                own_id, number = record_id(kind, part, number), number + 1
+                own_id, number = record_id(archive_id, kind, part, number, page_id, bytes(url), digest), number + 1
                 record = make_record(own_id, page_id, bytes(url), bytes(payload), length, digest, to, target or "")
                 index.append({"record_id": own_id, "page_id": page_id, "digest": digest, "frame": len(frames), "offset": held, "length": len(record)})
                 open_records.append(record)
@@ -208,18 +210,21 @@ def looked_up(bundles: DataFrame, record_ids: list[str]) -> DataFrame:
     return bundles.select("bundle", named.alias("records")).where(F.size("records") > 0).mapInArrow(read, "record_id string, headers map<string,string>, payload binary")
 
 
-def archive(pages: DataFrame, **options) -> DataFrame:
-    """The bundles of all pages, written to the shared folder: the responses, and then the revisits, which name the responses' identifiers."""
+def archive(pages: DataFrame, archive_id: str | None = None, **options) -> DataFrame:
+    """The bundles of all pages, written to the shared folder: the responses, and then the revisits, which name the responses' identifiers.
+
+    archive_id goes into every record's identifier; without one each archive has its own, so bundles of several may lie in one table."""
+    archive_id = archive_id or uuid.uuid4().hex
     rows = typed(pages, **options)
     none = F.lit(None).cast("string").alias("target_id")
-    responses = written(bundled(rows.where("refers_to is null").select("*", none), "response"), "warc")
+    responses = written(bundled(rows.where("refers_to is null").select("*", none), "response", archive_id), "warc")
     known = responses.select(F.inline("records")).groupBy(F.col("digest").alias("d"), F.col("page_id").alias("target")).agg(F.min("record_id").alias("target_id"))
     again = rows.where("refers_to is not null").select("page_id", "url", F.lit(b"").alias("payload"), "length", "digest", "refers_to")
     heads = known.join(again.select("digest", "refers_to").distinct(), (F.col("d") == F.col("digest")) & (F.col("target") == F.col("refers_to")), "left_semi")
     heads = heads.select("d", "target_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     again = again.withColumn("s", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     again = again.join(heads, (F.col("digest") == F.col("d")) & (again["s"] == heads["s"])).select("page_id", "url", "payload", "length", "digest", "refers_to", "target_id")
-    return responses.union(written(bundled(again, "revisit"), "warc"))
+    return responses.union(written(bundled(again, "revisit", archive_id), "warc"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

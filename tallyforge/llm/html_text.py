@@ -1,10 +1,10 @@
 """Layout-aware text of web pages.
 
 A tree builder with implied tags (html's optional end tags, void and raw-text elements, table parts without a table
-section) and visibility rules (unrendered elements, `hidden`, inline display:none and visibility:hidden, closed
-dialogs, hidden inputs); a renderer that gives all visible text: blocks on lines of their own, paragraphs and headings
+section) and visibility rules (unrendered elements, `hidden`, inline display:none, inline visibility, which children
+inherit and may set anew, closed dialogs, closed details but for their summary, inputs); a renderer that gives all visible text: blocks on lines of their own, paragraphs and headings
 parted by an empty line, bulleted and numbered lists with indentation, preformatted text as it stands, and tables whose
-cells are aligned in columns.
+cells are aligned in columns, with colspan and rowspan. Style sheets are not applied, only `style` attributes.
 
 Defined results: null or empty html gives an empty text; elements nested deeper than MAX_DEPTH become siblings there, so
 that no visible text is lost and hidden text stays hidden; unclosed tags, comments and quotes end with the page; a cell wider than MAX_PAD pads no other;
@@ -47,26 +47,55 @@ TAG = re.compile(
 )
 QUOTE_OR_END = re.compile("[>\"']")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s*=\s*(?!["']?until)|\s|/?>|$)|style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""", re.I)
-NUMBER = re.compile(r"""(start|value|colspan)\s*=\s*["']?\s*(-?\d{1,6})""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+#: What of a style attribute is no declaration: comments, strings, and what stands in parentheses.
+NO_DECLARATION = re.compile(r"""/\*.*?(?:\*/|$)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
+WHOLE = re.compile(r"\s*(-?\d{1,6})")
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(raw):
+        value = next(filter(None, values), "")
+        found.setdefault(name.lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
+def declared(style: str) -> dict[str, str]:
+    """The declarations of a style attribute; the last one of a name counts, but an important one goes first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in NO_DECLARATION.sub("", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        if name.strip() and (mark or not found.get(name.strip(), (False, ""))[0]):
+            found[name.strip()] = (bool(mark), value.strip())
+    return {k: v for k, (_, v) in found.items()}
 
 
 class Node:
-    __slots__ = ("name", "kids", "attrs")
+    """An element. `gone`: it is not rendered at all; `shown`: text right in it is visible; `closed`: only its summary is rendered."""
+
+    __slots__ = ("name", "kids", "attrs", "gone", "shown", "closed")
 
-    def __init__(self, name: str, attrs: str = ""):
+    def __init__(self, name: str, attrs: str = "", shown: bool = True):
         self.name, self.attrs, self.kids = name, attrs, []
+        self.gone, self.shown, self.closed = name in UNSEEN or name == "input", shown, name == "details"
+        # Few tags have one of the attributes that matter here.
+        given = attributes(attrs) if len(attrs) > 4 and (name in ("dialog", "details") or "hidden" in (low := attrs.lower()) or "style" in low) else {}
+        if name in ("dialog", "details"):
+            self.closed = name == "details" and "open" not in given
+            self.gone |= name == "dialog" and "open" not in given
+        if given:
+            style = declared(given.get("style", ""))
+            display = style.get("display", "")
+            self.gone |= display == "none" or not display and "hidden" in given and given["hidden"].lower() != "until-found"
+            seen = style.get("visibility", "")
+            self.shown = shown if seen in ("", "inherit", "unset") else seen not in ("hidden", "collapse")
 
     def number(self, key: str, default: int) -> int:
-        return next((int(v) for k, v in NUMBER.findall(self.attrs) if k.lower() == key), default)
-
-
-def unseen(name: str, attrs: str) -> bool:
-    if name in UNSEEN or name == "dialog" and not re.search(r"(?:^|\s)open(?:[\s=/>]|$)", attrs, re.I):
-        return True
-    if name == "input":
-        return True
-    return bool(attrs) and len(attrs) > 6 and bool(HIDDEN.search(attrs))
+        m = WHOLE.match(attributes(self.attrs).get(key, "")) if key in self.attrs.lower() else None
+        return int(m[1]) if m else default
 
 
 class Quotes:
@@ -93,7 +122,7 @@ def tree(page: str) -> Node:
     """The page's elements as a browser would nest them, as far as the text's layout needs it."""
     root = Node("body")
     stack, names = [root], ["body"]
-    over: list[bool] = []  # of the open elements deeper than MAX_DEPTH, whether their text is unseen
+    over: list[Node] = []  # the open elements deeper than MAX_DEPTH; a gone one has only gone ones in it
     at, end, quotes = 0, len(page), Quotes(page)
 
     def cut(k: int) -> None:
@@ -103,7 +132,8 @@ def tree(page: str) -> Node:
     while at < end:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else end]
-        if text and not (over and over[-1]):
+        inner = over[-1] if over else stack[-1]
+        if text and inner.shown and not (over and (inner.gone or inner.closed)):
             stack[-1].kids.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
@@ -128,7 +158,7 @@ def tree(page: str) -> Node:
             continue
         name, attrs = m[2].lower(), page[m.start(3) : at]
         if name in ("html", "body", "head"):
-            if name == "head" or not unseen(name, attrs):
+            if name == "head" or not Node(name, attrs).gone:
                 continue
         if name in IMPLIED:
             closes, stops = IMPLIED[name]
@@ -149,16 +179,19 @@ def tree(page: str) -> Node:
                     break
                 if names[k] in SCOPES:
                     break
-        node = Node(name, attrs)
-        lost = bool(over and over[-1])
-        if not lost:
+        inner = over[-1] if over else stack[-1]
+        node = Node(name, attrs, inner.shown)
+        if over and (inner.gone or inner.closed and name != "summary"):
+            node.gone = True
+        else:
             stack[-1].kids.append(node)
         if name in VOID or attrs.endswith("/>") and any(x in FOREIGN for x in (name, *names)):  # only there a slash closes
             continue
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
             raw = page[at : close.start() if close else end]
-            node.kids.append(html.unescape(raw) if name in ("textarea", "title") and "&" in raw else raw)
+            if node.shown:
+                node.kids.append(html.unescape(raw) if name in ("textarea", "title") and "&" in raw else raw)
             at = close.start() if close else end
             if close:
                 m = TAG.search(page, at)
@@ -168,7 +201,7 @@ def tree(page: str) -> Node:
         if len(stack) < MAX_DEPTH:
             stack.append(node)
         else:
-            over.append(lost or unseen(name, attrs))
+            over.append(node)
     return root
 
 
@@ -211,7 +244,7 @@ def _list(node: Node, deep: int) -> list[str]:
             if kid.strip():
                 out.append(SPACE.sub(" ", kid).strip())
             continue
-        if unseen(kid.name, kid.attrs):
+        if kid.gone:
             continue
         if kid.name != "li":
             sub = Lines()
@@ -226,67 +259,84 @@ def _list(node: Node, deep: int) -> list[str]:
         for x in kid.kids:
             _one(x, sub, deep + 1)
         sub.end()
+        pad = " " * len(mark)
         if sub.lines:
-            pad = " " * len(mark)
-            out += [mark + sub.lines[0], *(pad + x if x else x for x in sub.lines[1:])]
-        else:
+            out += [(mark if kid.shown else pad) + sub.lines[0], *(pad + x if x else x for x in sub.lines[1:])]
+        elif kid.shown:
             out.append(mark.rstrip())
     return out
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node) -> Iterator[tuple[Node, bool]]:
+    """The rows of a table, and whether each begins a section."""
+    first = True
     for kid in node.kids:
-        if isinstance(kid, Node) and not unseen(kid.name, kid.attrs):
+        if isinstance(kid, Node) and not kid.gone:
             if kid.name == "tr":
-                yield kid
+                yield kid, first
+                first = False
             elif kid.name in ("thead", "tbody", "tfoot"):
                 yield from _rows(kid)
+                first = True
+
+
+def _cells(row: Node, deep: int) -> Iterator[tuple[list[str], int, int]]:
+    """(lines, columns, rows) of each cell; no rows: as far as the section goes. Spans are as large as the HTML standard lets them be."""
+    for cell in row.kids:
+        if isinstance(cell, str):
+            if cell.strip():
+                yield [SPACE.sub(" ", cell).strip()], 1, 1
+        elif not cell.gone:
+            sub = Lines()
+            for x in cell.kids if cell.name in ("td", "th") else [cell]:
+                _one(x, sub, deep + 1)
+            sub.end()
+            yield sub.lines, max(1, min(cell.number("colspan", 1), 1000)), max(0, min(cell.number("rowspan", 1), 65534))
 
 
 def _table(node: Node, out: Lines, deep: int) -> None:
-    grid: list[list[tuple[list[str], int]]] = []
     for kid in node.kids:  # captions and stray content come first
         if isinstance(kid, str) or kid.name not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
             _one(kid, out, deep + 1)
     out.end()
-    for row in _rows(node):
-        cells = []
-        for cell in row.kids:
-            if isinstance(cell, str):
-                if cell.strip():
-                    cells.append(([SPACE.sub(" ", cell).strip()], 1))
-                continue
-            if unseen(cell.name, cell.attrs):
-                continue
-            sub = Lines()
-            for x in cell.kids if cell.name in ("td", "th") else [cell]:
-                _one(x, sub, deep + 1)
-            sub.end()
-            cells.append((sub.lines, max(1, min(cell.number("colspan", 1), 100))))
-        if any(lines for lines, _ in cells):
+    grid: list[list[tuple[int, list[str], int]]] = []  # the cells of each row: column, lines, columns
+    taken: list[tuple[int, int, float]] = []  # from and behind which column cells of earlier rows still stand, and for how many rows
+    for row, begins in _rows(node):
+        if begins:
+            taken = []
+        cells, k, passed, new = [], 0, 0, []
+        for lines, wide, high in _cells(row, deep):
+            while passed < len(taken) and taken[passed][0] <= k:
+                k = max(k, taken[passed][1])
+                passed += 1
+            cells.append((k, lines, wide))
+            if high != 1:
+                new.append((k, k + wide, high - 1 if high else float("inf")))
+            k += wide
+        taken = sorted([(a, b, n - 1) for a, b, n in taken if n > 1] + new) if taken or new else taken
+        if any(lines for _, lines, _ in cells):
             grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        k = 0
-        for lines, span in cells:
-            if span == 1:
+        for k, lines, wide in cells:
+            if wide == 1:
                 widths[k] = max(widths.get(k, 0), *(len(x) if len(x) <= MAX_PAD else 0 for x in lines or [""]))
-            k += span
     for cells in grid:
-        high = max(len(lines) for lines, _ in cells)
+        high = max(len(lines) for _, lines, _ in cells)
         for i in range(high):
-            line, k, want = "", 0, 0
-            for lines, span in cells:
+            line, behind, want = "", 0, 0
+            for k, lines, wide in cells:
+                want += sum(widths.get(j, 0) + 2 for j in range(behind, k))
                 line = line.ljust(want) + (lines[i] if i < len(lines) else "")
-                want = max(want + sum(widths.get(j, 0) + 2 for j in range(k, k + span)), len(line) + 2 if i < len(lines) else 0)
-                k += span
+                behind = k + wide
+                want = max(want + sum(widths.get(j, 0) + 2 for j in range(k, behind)), len(line) + 2 if i < len(lines) else 0)
             out.put([line.rstrip()])
 
 
 def _one(node, out: Lines, deep: int) -> None:
     if isinstance(node, str):
         out.text(node)
-    elif not unseen(node.name, node.attrs):
+    elif not node.gone:
         _render(node, out, deep)
 
 
@@ -321,10 +371,13 @@ def _render(node: Node, out: Lines, deep: int = 0) -> None:
             sub.end()
             out.put(["  " + x if x else x for x in sub.lines])
         elif name == "q":
-            out.text('"')
+            out.text('"' * node.shown)
             for kid in node.kids:
                 _one(kid, out, deep + 1)
-            out.text('"')
+            out.text('"' * node.shown)
+        elif node.closed:
+            for kid in [x for x in node.kids if isinstance(x, Node) and x.name == "summary"][:1]:
+                _one(kid, out, deep + 1)
         else:
             for kid in node.kids:
                 _one(kid, out, deep + 1)
@@ -357,7 +410,7 @@ def _verbatim(node: Node) -> str:
             parts.append(x.replace("\r\n", "\n"))
         elif x.name == "br":
             parts.append("\n")
-        elif x is node or not unseen(x.name, x.attrs):
+        elif x is node or not x.gone:
             todo += reversed(x.kids)
     return "".join(parts)
 

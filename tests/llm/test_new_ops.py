@@ -7,10 +7,54 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tallyforge.llm import codebooks, periodic_runs, simhash
+from tallyforge.llm import codebooks, html_text, periodic_runs, simhash, warc
 from tests.llm.test_ops import DOCS, corpus, words
 
+# ---- 1
+
+
+def test_records_of_two_archives_have_ids_of_their_own(spark):
+    """Both archives in one table: each identifier names one record, and is looked up as that."""
+    pages = [(k, f"http://a/{k % 3}", "x" * (900 + 50 * (k % 4))) for k in range(24)]
+    one = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2)
+    two = one.withColumn("html", F.concat("html", F.lit("!")))
+    both = warc.archive(one, min_revisit=1000).unionAll(warc.archive(two, min_revisit=1000)).unionAll(warc.archive(one, archive_id="fixed", min_revisit=1000))
+    ids = [r["record_id"] for r in both.select(F.inline("records")).collect()]
+    assert len(ids) == len(set(ids)) == 72
+    found = warc.looked_up(both, ids[5:40:7]).collect()
+    assert sorted(r["record_id"] for r in found) == sorted(ids[5:40:7])
+    records = warc.read_back(both)
+    assert records.count() == 72 and records.where("record_type = 'revisit'").count() == 30
+
+
+# ---- 10
+
+PAGES = [
+    ('<p title="a hidden b">seen</p>', "seen"), ('<p style="color:red" data-style="display:none">seen</p>', "seen"), ("<p data-hidden>seen<p class=hidden>too", "seen\n\ntoo"),
+    ("<div style='visibility:hidden'>no<p>no<b style='visibility: visible'>yes</b></p></div>end", "yes\n\nend"), ("<div style='visibility:hidden'><div style='visibility:inherit'>no</div></div>a", "a"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"), ("<ol><li style='visibility:hidden'>no<li>b</ol>", "2. b"),
+    ("<div style='display:none'><p style='display:block'>no</p></div>a", "a"), ("<p hidden style='display:block'>yes", "yes"), ("<p style='display:block;DISPLAY : none'>no<p>a", "a"),
+    ("<p style='display:none!important;display:block'>no<p>a", "a"), ("<p style='background:url(display:none;x)'>yes", "yes"), ("<p style='/*display:none*/color:red'>yes", "yes"), ("<p style=display:none>no<p>a", "a"), ("<p HIDDEN=''>no<p>a", "a"),
+    ("<details>no<summary>sum</summary><p>no</details>a", "sum\na"), ("<details open><summary>s</summary>body</details>", "s\nbody"), ("<details data-open><p>no</details>a", "a"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td>x<td rowspan=0>a<td>b<tr><td>y<td>c<tr><td>z<td>d</table>", "x  a  b\ny     c\nz     d"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"), ("<table><tr><td rowspan=2 colspan=2>w<td>b<tr><td>c<tr><td>p<td>q<td>r</table>", "w     b\n      c\np  q  r"),
+    ("<table><tr><td data-rowspan=2>a<td>b<tr><td>c</table>", "a  b\nc"), ("<ol data-start=5><li>x</ol>", "1. x"), ("<p title='&quot; hidden'>yes", "yes"),
+    ("<div>" * 250 + "<div style='visibility:hidden'>no<b style='visibility:visible'>in</b></div>" + "</div>" * 250, "in"), ("<div>" * 220 + "<details>no<i>no</i></details>in", "in"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_visibility_and_spans(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_pages_with_columns_of_the_same_names(spark):
+    rows = spark.createDataFrame([(1, "<p>a", "own", "x")], "page_id bigint, html string, visible_text string, text string")
+    assert [tuple(r) for r in html_text.extracted(rows, "html", ["page_id"]).collect()] == [(1, "a")]
+
+
 # ---- 11
 
 

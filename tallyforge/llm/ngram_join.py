@@ -38,7 +38,7 @@ BUCKET_BITS, BLOCKS = 20, 128
 TILE, GROUP, SALTS = 256, 256, 16
 ROUNDS = 2
 #: The prefix shingles meet in so many runs, one hash share after the other, so that only a share of them lies in shuffle files at once.
-RUNS = 2
+RUNS = 4
 LEAST_BITS, MOST_BITS = 128, 32768
 #: Pairs that a tile's arrays hold at once.
 AT_ONCE = 1 << 18

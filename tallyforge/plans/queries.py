@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..operators import attribution, audits, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
 from ..operators.common import exact_unions, running
 from ..sources import prices as P
+from . import advice as A
 from . import views as V
 
 QUERIES: dict = {}
@@ -85,11 +86,8 @@ def unpriced_calls(spark, sf):
 
 @query(f"with {V.rated_a_sql()}, t as (select model, sum(cost) as cost from rk group by 1) select cast(arg_max(model, cost) as varchar) as model, cast(max(cost) as bigint) as cost from t")
 def dominant_model(spark, sf):
-    from .scan import dominant
-
-    spend = {r["model"]: r["cost"] for r in rated_a(spark, sf).where("cost is not null").groupBy("model").agg(F.sum("cost").alias("cost")).collect()}
-    best = dominant(spend)
-    return spark.createDataFrame([(best, spend.get(best))], "model string, cost bigint")
+    spend = rated_a(spark, sf).groupBy("model").agg(F.sum("cost").alias("cost"))
+    return spend.agg(A.dominant_of(F.col("model"), F.col("cost")).alias("x")).select("x.model", F.col("x.cost").cast("bigint").alias("cost"))
 
 
 @query(f"""with {V.rates_a_sql()},
@@ -408,21 +406,13 @@ def sharing_minimum(spark, sf):
 @query(f"with {V.rated_a_sql()}, f as (select model as id, sum(cost) - 2 * sum(c_output) as net from rk group by 1) select id, cast(net as bigint) as net from f where net > 0 order by net desc, id limit 3")
 def fix_topk(spark, sf):
     f = rated_a(spark, sf).groupBy(F.col("model").alias("id")).agg((F.sum("cost") - 2 * F.sum("c_output")).alias("net"))
-    from .scan import top_fixes
-
-    # As many sections as there are models: a report's size, not the data's.
-    sections = {r["id"]: {"fix": {"id": r["id"], "net_usd": r["net"], "clears_breakeven": True, "upper_bound": False}} for r in f.where("net is not null").orderBy("id").collect()}
-    return spark.createDataFrame([(x["id"], x["net_usd"]) for x in top_fixes(sections)], "id string, net bigint")
+    return A.best(f.withColumn("sound", F.lit(True))).select("id", F.col("net").cast("bigint").alias("net"))
 
 
 @query(f"with {V.rated_a_sql()}, f as (select kind as id, sum(c_output) - sum(cost) as net from rk group by 1) select arg_min(id, net) as id, cast(min(net) as bigint) as net from f where net < 0")
 def costly_trick(spark, sf):
     f = rated_a(spark, sf).groupBy(F.col("kind").alias("id")).agg((F.sum("c_output") - F.sum("cost")).alias("net"))
-    from .scan import costly_trick as worst
-
-    sections = {r["id"]: {"trick": {"id": r["id"], "net_usd": r["net"], "evaluated": True}} for r in f.where("net is not null").orderBy("id").collect()}
-    found = worst(sections) or {"id": None, "net_usd": None}
-    return spark.createDataFrame([(found["id"], found["net_usd"])], "id string, net bigint")
+    return A.worst(f.withColumn("sound", F.lit(True))).select("id", F.col("net").cast("bigint").alias("net"))
 
 
 # ---- labels

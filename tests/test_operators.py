@@ -18,41 +18,49 @@ from tests import transcripts as T
 M = 1e-6
 
 
-def two_batches(copied=-1):
-    """A boot of 10K, 40K results at calls 1 and 5, 1K prompts at the others; every call reads the context before it."""
-    ctx = [10_000, 50_000, 51_000, 52_000, 53_000, 93_000, 94_000, 95_000, 96_000, 97_000]
-    billed = [int(j > copied) for j in range(10)]
-    calls = {"idx": list(range(10)), "ctx": [float(c) for c in ctx], "wt": billed, "read_price": [M] * 10, "write_price": [12.5 * M] * 10, "out_price": [50 * M] * 10}
-    calls["cw"] = [sum(billed[:j]) for j in range(10)]
-    calls["cr_sum"] = [sum(billed[:j]) * M for j in range(10)]
-    tokens = [10_000.0] + [40_000.0 if j in (1, 5) else 1_000.0 for j in range(1, 10)]
-    return calls, {"entry": list(range(10)), "tokens": tokens, "death": [10] * 10, "evictable": [j in (1, 5) for j in range(10)]}
+def kitchen(copied=-1):
+    """Eight calls. Results of 32K, 20K and 12K enter at calls 1, 3 and 5; a prompt of 6K opens the thread, small ones come between."""
+    tokens = [6_000.0, 32_000.0, 2_000.0, 20_000.0, 500.0, 12_000.0, 1_000.0, 1_500.0]
+    billed = [int(j > copied) for j in range(8)]
+    calls = {"idx": list(range(8)), "ctx": [sum(tokens[: j + 1]) for j in range(8)], "wt": billed, "read_price": [2 * M] * 8, "write_price": [20 * M] * 8, "out_price": [80 * M] * 8}
+    calls["cw"] = [sum(billed[:j]) for j in range(8)]
+    calls["cr_sum"] = [2 * M * sum(billed[:j]) for j in range(8)]
+    return calls, {"entry": list(range(8)), "tokens": tokens, "death": [8] * 8, "evictable": [j in (1, 3, 5) for j in range(8)]}
+
+
+EARLY = replay.Lease(age=1, batch=30_000)
 
 
 def test_lease_replay():
-    batches = replay.replay_thread(*two_batches(), replay.Lease())
-    (j1, b1, s1, l1, rl1, w, r, n, after, o), (j2, b2, s2, l2, *_, after2, _) = batches
-    assert (j1, b1, s1, l1, n, after) == (4, 40_000, 3_000, 5, 1, 13_000)
-    assert (j2, b2, s2, l2, after2) == (8, 40_000, 3_000, 1, 16_000)
-    assert (w, r, o, rl1) == (pytest.approx(12.5 * M), pytest.approx(M), pytest.approx(50 * M), pytest.approx(5 * M))
-    assert sum(b[1] * b[4] - b[2] * (b[5] - b[6]) for b in batches) == pytest.approx(0.171)
-    assert [b[2] for b in replay.replay_thread(*two_batches(5), replay.Lease())] == [3_000]
+    # The first result goes a call after it came, the others together once the third is old enough: 20K alone are too few.
+    first, second = ({k: x for k, x in zip("call b S L life w r n after o".split(), batch)} for batch in replay.replay_thread(*kitchen(), EARLY))
+    assert (first["call"], first["b"], first["n"], first["after"]) == (2, 32_000, 1, 6_000 + 2_000)
+    assert (first["S"], first["L"], first["life"]) == (2_000, 5, pytest.approx(10 * M))  # read by calls 3 to 7
+    assert (second["call"], second["b"], second["n"], second["after"]) == (6, 20_000 + 12_000, 2, 6_000 + 2_000 + 500 + 1_000)
+    assert (second["S"], second["L"], second["life"]) == (500 + 1_000, 1, pytest.approx(2 * M))
+    assert (second["w"], second["r"], second["o"]) == (20 * M, 2 * M, 80 * M)
+    assert [batch[0] for batch in replay.replay_thread(*kitchen(3), EARLY)] == [6]  # call 3, before which the first one goes, is a copy
 
 
 def test_clearing_replay():
-    (b,) = replay.replay_thread(*two_batches(), replay.Clearing(trigger=90_000, keep=1, at_least=20_000))
-    assert (b[2], b[3]) == (43_000, 4)
-    assert b[1] * b[4] - b[2] * (b[5] - b[6]) == pytest.approx(-0.3345)
+    (batch,) = replay.replay_thread(*kitchen(), replay.Clearing(trigger=70_000, keep=1, at_least=25_000))
+    # At call 5 the context is 72,500; the results of calls 1 and 3 go, and what stands behind the first of them is written anew.
+    assert batch[:4] == (5, 52_000, 2_000 + 500 + 12_000, 2)
+    assert not replay.replay_thread(*kitchen(), replay.Clearing(trigger=70_000, keep=2, at_least=32_001))
 
 
 def test_scores(spark):
-    rows = [("t", *b) for b in replay.replay_thread(*two_batches(), replay.Lease())]
-    df = spark.createDataFrame(rows, replay.BATCH_COLUMNS)
+    df = spark.createDataFrame([("t", *batch) for batch in replay.replay_thread(*kitchen(), EARLY)], replay.BATCH_COLUMNS)
     t = replay.summary(replay.scored(df)).first()
-    assert (t["net"], t["trips"], t["unit"]) == (pytest.approx(0.171), pytest.approx(0.064), pytest.approx(1.304))
-    assert replay.breakeven_rate(t["net"], t["refetch"], t["unit"]) == 0.1311
-    by = {r["ratio"]: r["pay_batches"] for r in replay.paying_by_ratio(replay.scored(df), [11.5, 19.0]).collect()}
-    assert by == {11.5: 2, 19.0: 1}
+    saved, rewrite = 32_000 * 10 * M + 32_000 * 2 * M, 2_000 * 18 * M + 1_500 * 18 * M
+    # Each result that is fetched again costs a read of the context and the output that asks for it.
+    again = replay.AGAIN_OUTPUT * 80 * M
+    trips = 8_000 * 2 * M + again + 2 * (9_500 * 2 * M + again)
+    unit = 32_000 * (10 + 20) * M + 32_000 * (2 + 20) * M + trips
+    assert (t["saved"], t["rewrite"], t["net"], t["trips"], t["unit"]) == tuple(pytest.approx(x) for x in (saved, rewrite, saved - rewrite, trips, unit))
+    assert replay.breakeven_rate(t["net"], t["refetch"], t["unit"]) == round((saved - rewrite) / unit, 4)
+    # L b / S is 80 and 21.3.
+    assert {r["ratio"]: r["pay_batches"] for r in replay.paying_by_ratio(replay.scored(df), [21.0, 22.0, 80.0]).collect()} == {21.0: 2, 22.0: 1, 80.0: 0}
     assert replay.summary(replay.scored(df.limit(0))).first()["batches"] == 0
 
 
@@ -118,14 +126,24 @@ def test_replay_equals_a_plain_loop(spark):
 
 
 def test_keepalive(spark):
-    rows = [("t", i, "main", float(ts), "claude-opus-5-5", 0, cx, cx, 0, 0, 10, False) for i, (cx, ts) in enumerate(((20_000, 0), (20_500, 7200), (21_000, 7800)))]
+    # Five-minute writes: pauses of 200 s, 900 s and 6,000 s; after the second nearly all is written anew, after the third all.
+    rows = [("t", i, "main", float(ts), "m", 0, cc, cc, 0, cr, 5, False) for i, (ts, cc, cr) in enumerate(((0, 40_000, 0), (200, 1_000, 40_000), (1_100, 39_000, 3_000), (7_100, 44_000, 0)))]
     c = spark.createDataFrame(rows, "path string, idx int, kind string, ts double, model string, inp long, cc long, cc5 long, cc1 long, cr long, out long, copied boolean")
-    c = c.withColumns({"iters": F.lit(None).cast("array<int>"), "p_in": F.lit(10 * M), "p_w5": F.lit(12.5 * M), "p_w1": F.lit(20 * M), "p_read": F.lit(M), "p_out": F.lit(50 * M)})
+    c = c.withColumns({"iters": F.lit(None).cast("array<int>"), "p_in": F.lit(4 * M), "p_w5": F.lit(5 * M), "p_w1": F.lit(8 * M), "p_read": F.lit(0.4 * M), "p_out": F.lit(20 * M)})
+    every = 300 - audits.MARGIN
+    ping = lambda ctx: (0.4 * ctx + 4 * audits.PING_IN + 20 * audits.PING_OUT) * M
+    caps = {ctx: math.floor(ctx * 4.6 * M / ping(ctx)) for ctx in (41_000, 42_000, 44_000)}
+    # What was written less what is new: 39,000 - (42,000 - 41,000) and 44,000 - (44,000 - 42,000), at 4.6 more than a read.
+    excess = {41_000: 38_000 * 4.6 * M, 42_000: 42_000 * 4.6 * M}
+    fired = {41_000: 900 // every, 42_000: 6_000 // every}
+    need = {41_000: -(-600 // every), 42_000: -(-5_700 // every)}
     t = audits.keepalive_totals(audits.idle_gaps(c)).first()
-    assert (t["over_ttl"], t["rebuilds"], t["hindsight_gaps"]) == (2, 2, 1)
-    assert (t["excess"], t["hindsight"], t["capped_pings"]) == (pytest.approx(0.46575), pytest.approx(0.19445), pytest.approx(0.26295))
-    assert (t["always_pings"], t["always_saved"] - t["always_pings"]) == (pytest.approx(0.5652), pytest.approx(-0.09945))
-    assert audits.keepalive_tail(c).first()["pings"] == pytest.approx(11 * 21_150 * M)
+    assert (t["hour"], t["gaps"], t["over_ttl"], t["rebuilds"], t["hindsight_gaps"], t["bridged"]) == (False, 2, 2, 2, 1, 1)
+    assert need[41_000] <= caps[41_000] < fired[42_000] and need[42_000] > caps[42_000] and need[42_000] * ping(42_000) > excess[42_000]
+    assert t["excess"] == pytest.approx(sum(excess.values())) and t["hindsight"] == pytest.approx(excess[41_000] - need[41_000] * ping(41_000))
+    assert t["capped_pings"] == pytest.approx(fired[41_000] * ping(41_000) + caps[42_000] * ping(42_000)) and t["capped_saved"] == pytest.approx(excess[41_000])
+    assert t["always_pings"] == pytest.approx(sum(n * ping(ctx) for ctx, n in fired.items()))
+    assert audits.keepalive_tail(c).first()["pings"] == pytest.approx(caps[44_000] * ping(44_000))
 
 
 def test_fold_equals_a_straight_loop(spark):

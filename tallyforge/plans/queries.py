@@ -299,31 +299,68 @@ def breakeven_rule(spark, sf):
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(replay.margin(b, life, s, w, r), 4).alias("margin"), replay.pays(b, life, s, w, r).alias("pays"), F.floor(replay.payback_calls(b, s, w, r) * 1000).alias("payback_milli"))
 
 
+# A replay as a recursion: a row for each batch of a thread, with the items that went in it and those gone so far.
+_THREADS = "tn as (select path, max(idx) as last from tl group by 1)"
+_LEASED = f"""select s.path, c.idx as call, s.gone, list(i.seq) as going, row_number() over (partition by s.path order by c.idx) as nth
+  from st as s join tn on tn.path = s.path join tl as c on c.path = s.path and c.idx > s.call and c.idx < tn.last
+  join ti as i on i.path = s.path and i.evictable and i.tokens >= {replay.LEASE['least']} and i.entry + {replay.LEASE['age']} <= c.idx and i.death > c.idx and not list_contains(s.gone, i.seq)
+  group by s.path, c.idx, s.gone having sum(i.tokens) >= {replay.LEASE['batch']}"""
+
+
+def _cleared(at_least: int) -> str:
+    return f"""select path, call, gone, list(seq) as going, row_number() over (partition by path order by call) as nth from (
+    select s.path, c.idx as call, s.gone, i.seq, i.tokens, i.evictable, i.go, c.ctx - sum(case when i.left_out then i.tokens else 0 end) over (partition by s.path, c.idx) as now,
+      row_number() over (partition by s.path, c.idx order by i.evictable and not i.left_out desc, i.seq desc) as latest
+    from st as s join tn on tn.path = s.path join tl as c on c.path = s.path and c.idx > s.call and c.idx < tn.last
+    join lateral (select x.seq, x.tokens, x.evictable, list_contains(s.gone, x.seq) as left_out, x.evictable and not list_contains(s.gone, x.seq) as go from ti as x where x.path = s.path and x.entry <= c.idx and x.death > c.idx) as i on true)
+  where go and latest > {replay.CLEARING['keep']} and now >= {replay.CLEARING['trigger']} group by path, call, gone having sum(tokens) >= {at_least}"""
+
+
+def _scored_sql(batches: str, refetch: float = 0.0) -> str:
+    """`sc`: the scored batches; a batch before a copied call is not scored."""
+    return f"""with recursive {V.TIMELINE}, {_THREADS},
+st as (select path, cast(-1 as bigint) as call, cast([] as bigint[]) as gone, cast([] as bigint[]) as going from tn
+  union all select path, call, list_concat(gone, going), going from ({batches}) where nth = 1),
+go as (select st.path, st.call, any_value(st.going) as going, sum(case when list_contains(going, seq) then tokens end) as b, count(case when list_contains(going, seq) then 1 end) as n_items,
+    sum(case when list_contains(gone, seq) and not list_contains(going, seq) and ti.death > call then tokens else 0 end) as earlier,
+    sum(case when entry <= call and ti.death > call and not list_contains(gone, seq) and seq < list_min(going) then tokens else 0 end) as first,
+    sum(case when list_contains(going, seq) then tokens * (coalesce(te.cw, tall.cw) - ta.cw) end) as calls_left, sum(case when list_contains(going, seq) then tokens * (coalesce(te.cr_sum, tall.cr_sum) - ta.cr_sum) end) as reads_left
+  from st join ti on ti.path = st.path join tl as ta on ta.path = st.path and ta.idx = st.call + 1 left join tl as te on te.path = st.path and te.idx = ti.death
+  join (select path, sum(wt) as cw, sum(wt * read_price) as cr_sum from tl group by 1) as tall on tall.path = st.path where st.call >= 0 group by st.path, st.call),
+sb as (select go.path, go.call, b, greatest(0, tc.ctx - earlier - b - first) as "S", calls_left / b as "L", reads_left / b as read_life, ta.write_price as w, ta.read_price as r, n_items, tc.ctx - earlier - b as ctx_after, ta.out_price as o
+  from go join tl as tc on tc.path = go.path and tc.idx = go.call join tl as ta on ta.path = go.path and ta.idx = go.call + 1 where ta.wt > 0 and b > 0),
+s0 as (select path, cast(call as bigint) as call, cast(b as double) as b, cast("S" as double) as "S", cast("L" as double) as "L", cast(read_life as double) as read_life, cast(w as double) as w, cast(r as double) as r, cast(n_items as bigint) as n_items, cast(ctx_after as double) as ctx_after, cast(o as double) as o from sb),
+s1 as (select *, b * read_life as saved, "S" * (w - r) as rewrite, n_items * (ctx_after * r + {replay.AGAIN_OUTPUT} * o) as trips, case when "S" > 0 then "L" * b / "S" else 'infinity'::double end as x from s0),
+s2 as (select *, b * (read_life + w) + trips as unit from s1),
+sc as (select *, {refetch} * unit as refetch, saved - rewrite - {refetch} * unit as net from s2)"""
+
+
 def _batches(spark, sf, policy, **options):
     return replay.replayed(*V.timeline(spark, sf), policy, **options)
 
 
-@query()
+@query(_scored_sql(_LEASED) + " select * from sc")
 def replay_lease(spark, sf):
     return replay.scored(_batches(spark, sf, "lease", **replay.LEASE))
 
 
-@query()
+@query(_scored_sql(_cleared(20_000)) + " select * from sc")
 def replay_clearing_20k(spark, sf):
     return replay.scored(_batches(spark, sf, "clearing", at_least=20_000, **replay.CLEARING))
 
 
-@query()
+@query(_scored_sql(_cleared(60_000)) + " select * from sc")
 def replay_clearing_60k(spark, sf):
     return replay.scored(_batches(spark, sf, "clearing", at_least=60_000, **replay.CLEARING))
 
 
-@query()
+@query(_scored_sql(_cleared(150_000)) + " select * from sc")
 def replay_clearing_150k(spark, sf):
     return replay.scored(_batches(spark, sf, "clearing", at_least=150_000, **replay.CLEARING))
 
 
-@query()
+@query(_scored_sql(_LEASED, 0.25) + """ select count(*) as batches, coalesce(sum(b), 0) as tokens, cast(coalesce(sum(n_items), 0) as bigint) as items, coalesce(sum(saved), 0) as saved, coalesce(sum(rewrite), 0) as rewrite, coalesce(sum(refetch), 0) as refetch,
+  coalesce(sum(unit), 0) as unit, coalesce(sum(trips), 0) as trips, coalesce(sum(net), 0) as net, cast(coalesce(sum(case when net > 0 then 1 else 0 end), 0) as bigint) as pay_batches, coalesce(sum(case when net > 0 then b else 0 end), 0) as pay_tokens, coalesce(sum(case when net > 0 then net else 0 end), 0) as net_paying from sc""")
 def breakeven_summary(spark, sf):
     return replay.summary(replay.scored(_batches(spark, sf, "lease", **replay.LEASE), 0.25))
 

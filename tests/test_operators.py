@@ -296,3 +296,34 @@ def test_card():
     assert "$" not in render.card_text(render.card(rep, shares_only=True))
     assert render.card_svg(c).count("<text") > 8
     assert S.top_fixes(sections)[0]["net_usd"] == 9.0
+
+
+def test_sums_that_change():
+    draw = random.Random(9)
+    for n in (1, 2, 7, 64, 100):
+        plain, sums = [0.0] * n, replay.Sums(n)
+        for _ in range(200):
+            i = draw.randrange(n)
+            x = float(draw.randrange(5))
+            sums.add(i, x - plain[i])
+            plain[i] = x
+            assert [sums.before(k) for k in range(n + 1)] == [sum(plain[:k]) for k in range(n + 1)]
+            if wanted := draw.randrange(int(sum(plain)) + 1):
+                assert sums.reaching(wanted) == next(k for k in range(n) if sum(plain[: k + 1]) >= wanted)
+
+
+@pytest.mark.parametrize("policy", [replay.Lease(2, 30_000), replay.Clearing(100_000, 3, 20_000)])
+def test_a_long_thread_takes_few_steps(policy, monkeypatch):
+    """Ten times the calls and batches take about ten times the steps of the sums."""
+    steps = []
+    for n in (1_000, 10_000):
+        count = [0]
+        for name in ("add", "before", "reaching"):
+            monkeypatch.setattr(replay.Sums, name, lambda self, *a, f=getattr(replay.Sums, name): count.__setitem__(0, count[0] + 1) or f(self, *a))
+        flat = {"idx": range(n), "wt": [1] * n, "read_price": [M] * n, "write_price": [M] * n, "out_price": [M] * n, "cw": range(n), "cr_sum": range(n)}
+        items = {"entry": range(n), "tokens": [9_000.0] * n, "death": [n] * n, "evictable": [True] * n}
+        found = replay.replay_thread(flat | {"ctx": [9_000.0 * (j + 1) for j in range(n)]}, items, policy)
+        assert len(found) > n / 10
+        steps.append(count[0])
+        monkeypatch.undo()
+    assert steps[1] <= 11 * steps[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import derived  # noqa: F401
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1,7 +1,8 @@
 """Queries that read transcripts as a scan does: Spark writes one for each conversation, in either layout, and the source reads them back.
 
 In layout `a` an answer is streamed in two records of one id, and answers of odd turns use a tool. In layout `b` each person's turn starts
-a task, each fourth one after a compaction, and an answer is a reasoning item, a message and a token count."""
+a task, each fourth one after a compaction, and an answer is a reasoning item, a message and a token count; answers of odd turns poll a
+running command, those of even turns run one, and the outputs follow (none in each fifth conversation, which uses one id for all)."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import sessions_b, threads_a
 from ..sources.transcripts import ended_a, ended_b, transcripts
 from . import views as V
@@ -82,10 +84,15 @@ def transcripts_b(spark: SparkSession, sf: str) -> str:
     usage = nested(input_tokens=1000 * turn, cached_input_tokens=500 * turn, output_tokens=F.length(text), reasoning_output_tokens=turn)
     counted = line("event_msg", type=F.lit("token_count"), info=nested(last_token_usage=usage, total_token_usage=nested(total_tokens=1000 * turn + 1)))
     user, spoken, system = (F.col("role") == r for r in ("user", "assistant", "system"))
+    poll, call_id = turn % 2 == 1, F.when(F.col("conv_id") % 5 == 4, F.lit("same")).otherwise(F.concat(F.lit("c"), turn))
+    given = F.when(poll, record(session_id=F.lit(1), chars=F.when(turn % 3 == 0, F.lit("y")).otherwise(F.lit("")))).otherwise(record(cmd=F.lit(COMMAND)))
+    called = line("response_item", type=F.lit("function_call"), name=F.when(poll, F.lit("write_stdin")).otherwise(F.lit("exec_command")), call_id=call_id, arguments=given)
+    output = F.concat(F.lit("Output:\n"), F.when(turn % 4 == 1, F.lit(" ")).otherwise(text))
+    answered = F.when(F.col("conv_id") % 5 != 3, line("response_item", type=F.lit("function_call_output"), call_id=call_id, output=output))
     values = (
         F.when(turn == 0, line("session_meta", id=F.col("conv_id").cast("string"), source=F.lit("cli"))),
         F.when(user & (turn % 4 == 2), line("compacted", message=F.lit(""))), F.when(user, line("event_msg", type=F.lit("task_started"))), F.when(user, line("turn_context", model=F.lit(MODEL_B))),
-        F.when(user, message("user")), F.when(system, message("system")), F.when(spoken, line("response_item", type=F.lit("reasoning"))), F.when(spoken, message("assistant")), F.when(spoken, counted),
+        F.when(user, message("user")), F.when(system, message("system")), F.when(spoken, line("response_item", type=F.lit("reasoning"))), F.when(spoken, message("assistant")), F.when(spoken, called), F.when(spoken, counted), F.when(spoken, answered),
     )
     return written(c.select("conv_id", "turn", numbered(*values)))
 
@@ -157,6 +164,19 @@ def source_messages_b(spark, sf):
     return found.groupBy(conversation(), F.col("pl").cast("bigint").alias("pl"), "kind").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("times"))
 
 
-@query("select conv_id as conv, 'file' as tag, 'root' as kind, cast(sum(case role when 'user' then case when turn % 4 = 2 then 4 else 3 end when 'system' then 1 else 3 end) + count(case when turn = 0 then 1 end) as bigint) as lines, cast(0 as bigint) as bad_lines, false as cut from conversations group by 1")
+@query("select conv_id as conv, 'file' as tag, 'root' as kind, cast(sum(case role when 'user' then case when turn % 4 = 2 then 4 else 3 end when 'system' then 1 else case when conv_id % 5 = 3 then 4 else 5 end end) + count(case when turn = 0 then 1 end) as bigint) as lines, cast(0 as bigint) as bad_lines, false as cut from conversations group by 1")
 def source_files_b(spark, sf):
     return ended_b(rows_b(spark, sf)).select(conversation(), "tag", "kind", "lines", "bad_lines", "cut")
+
+
+@query(f"""with {_CONVERSATIONS} select conv, count(*) as polls, cast(sum(case when turn % 3 <> 0 then 1 else 0 end) as bigint) as no_input, cast(sum(case when turn % 4 = 1 and conv % 5 <> 3 then 1 else 0 end) as bigint) as no_new from a where turn % 2 = 1 group by 1""")
+def source_polls_b(spark, sf):
+    events = sessions_b.folded(rows_b(spark, sf))
+    return sessions_b.polls(events, sessions_b.calls(events)).select(conversation(), "polls", "no_input", "no_new")
+
+
+@query(f"""with {_CONVERSATIONS} select conv, cast(idx + 1 as bigint) as pl, case when turn % 2 = 1 then 'fn:write_stdin' else 'fn:exec_command' end as tool, case when turn % 2 = 0 then '{L.command_of(COMMAND, [])}' end as kind,
+  cast(8 + case when turn % 4 = 1 then 1 else n end as bigint) as out_chars, turn % 4 = 1 as no_new, case when turn % 2 = 0 then cast(8 + n as double) end as vis from a where conv % 5 <> 3""")
+def source_tools_b(spark, sf):
+    found = sessions_b.tools(sessions_b.folded(rows_b(spark, sf)))
+    return found.select(conversation(), F.col("pl").cast("bigint").alias("pl"), "tool", "kind", F.col("out_chars").cast("bigint").alias("out_chars"), "no_new", F.col("vis").cast("double").alias("vis"))

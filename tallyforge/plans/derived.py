@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import sessions_b, threads_a
+from ..operators import attribution, sessions_b, threads_a, timeline
 from ..sources.transcripts import ended_a, ended_b, transcripts
 from . import views as V
 from .queries import query
@@ -180,3 +180,33 @@ def source_polls_b(spark, sf):
 def source_tools_b(spark, sf):
     found = sessions_b.tools(sessions_b.folded(rows_b(spark, sf)))
     return found.select(conversation(), F.col("pl").cast("bigint").alias("pl"), "tool", "kind", F.col("out_chars").cast("bigint").alias("out_chars"), "no_new", F.col("vis").cast("double").alias("vis"))
+
+
+_PER_TOKEN = L.CHARS_NEW if MODEL_A.startswith(tuple(L.NEW_FAMILIES)) else L.CHARS_OLD
+
+
+@query(f"""with {_CONVERSATIONS}, calls as (select conv, count(*) as calls from a group by 1),
+e as (select conv, (select count(*) from a where a.conv = c.conv and a.turn < c.turn) as entry, case role when 'system' then 'meta_user' else 'user_prompt' end as category, n / {_PER_TOKEN} as est from c where role <> 'assistant'
+  union all select conv, idx + 1, 'tool_result:Bash:{L.bash_of(COMMAND)}', least(n, 40) / {_PER_TOKEN} from a where turn % 2 = 1
+  union all select conv, idx + 1, 'assistant:text', greatest(1, n // 4) * n / (n + case when turn % 2 = 1 then {_COMMAND_CHARS} else 0 end) from a
+  union all select conv, idx + 1, 'assistant:tool_input:Bash', greatest(1, n // 4) * {_COMMAND_CHARS} / (n + {_COMMAND_CHARS}) from a where turn % 2 = 1)
+select e.conv, cast(entry as bigint) as entry, category, round(sum(est), 6) as est from e join calls on calls.conv = e.conv where entry < calls group by all""")
+def source_estimates_a(spark, sf):
+    rows = rows_a(spark, sf)
+    calls = threads_a.calls(rows)
+    found = attribution.estimates(threads_a.items(rows, calls), threads_a.tool_uses(rows), calls)
+    return found.groupBy(conversation(), F.col("entry").cast("bigint").alias("entry"), "category").agg(F.round(F.sum("est"), 6).alias("est"))
+
+
+@query(f"""with {_SESSIONS}, w as (select a.*, (select count(*) from c where c.conv = a.conv and c.role = 'user' and c.turn % 4 = 2 and c.turn > first and c.turn < a.turn) as win from a join s on s.conv = a.conv),
+k as (select *, min(idx) over (partition by conv, win) as win_start, max(idx) over (partition by conv, win) + 1 as win_end from w),
+i as (select conv, idx as entry, 0 as rank, 0 as o, cast(1000 * turn as double) as tokens, win_end as death, false as evictable from k where idx = win_start
+  union all select conv, idx + 1, 1, 0, cast(n - turn as double), win_end, false from k where n > turn and idx + 1 < win_end
+  union all select c.conv, k.idx, 2, c.turn, c.n / {L.CHARS_B}, win_end, false from c join s on s.conv = c.conv join k on k.conv = c.conv and k.idx = (select count(*) from a where a.conv = c.conv and a.turn < c.turn) where c.role <> 'assistant' and c.turn > first and k.idx <> win_start
+  union all select k.conv, k.idx, 3, a.turn, (8 + case when a.turn % 4 = 1 then 1 else a.n end) / {L.CHARS_B}, win_end, true from a join k on k.conv = a.conv and k.idx = a.idx + 1 where a.conv % 5 <> 3 and k.idx <> win_start)
+select conv, row_number() over (partition by conv order by entry, rank, o) - 1 as seq, cast(entry as bigint) as entry, round(tokens, 6) as tokens, cast(death as bigint) as death, evictable from i""")
+def source_timeline_b(spark, sf):
+    events = sessions_b.folded(rows_b(spark, sf))
+    calls = sessions_b.calls(events).withColumns({"p_cached": F.lit(1.0), "p_in": F.lit(10.0), "p_out": F.lit(40.0)})
+    items = timeline.timeline_b(calls, sessions_b.tools(events), sessions_b.messages(events))[1]
+    return items.select(conversation(), F.col("seq").cast("bigint").alias("seq"), F.col("entry").cast("bigint").alias("entry"), F.round("tokens", 6).alias("tokens"), F.col("death").cast("bigint").alias("death"), "evictable")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import attribution, audits, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
+from ..operators import attribution, audits, chunks, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
 from ..operators.common import exact_unions, running
 from ..sources import prices as P
 from . import advice as A
@@ -276,6 +276,14 @@ def residency_prefix_sum(spark, sf):
     return V.timeline(spark, sf)[0].select("path", "idx", "wt", F.col("cw").cast("bigint").alias("cw"), F.col("cr_sum").cast("double").alias("cr_sum"), "ctx")
 
 
+@query("""with e as (select event_type as path, event_id as idx, sum(case when event_id % 97 = 0 then 1 else 0 end) over (partition by event_type order by event_id rows unbounded preceding) as life from events where event_type is not null and event_id is not null)
+select path, cast(life as bigint) as life, count(*) as calls, cast(max(idx) + 1 as bigint) as death from e group by path, life""")
+def long_thread_lives(spark, sf):
+    c = V.table(spark, sf, "events").where("event_type is not null and event_id is not null").select(F.col("event_type").alias("path"), F.col("event_id").alias("idx"))
+    c = chunks.lives(c, F.col("idx") % 97 == 0, F.lit(0.0), F.lit(1.0), size=256)
+    return c.groupBy("path", "life").agg(F.max("Q_end").cast("bigint").alias("calls"), F.max("death").alias("death"))
+
+
 # ---- the rule and the replay
 
 _RATIO_ROWS = ", ".join([*(f"('{m}', '{t}', {w!r}::double, {r[3]!r}::double)" for m, r in P.SnapshotA.load().models.items() for t, w in (("5m", r[1]), ("1h", r[2]))), *(f"('{m}', '{t}', {w!r}::double, {r[1]!r}::double)" for m, r in P.SnapshotB.load().models.items() for t, w in (("rewrite_as_input", r[0]), ("rewrite_as_cache_write", r[2])) if w is not None)])

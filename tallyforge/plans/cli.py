@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--print-keys", action="store_true")
     s.add_argument("--out", metavar="FILE")
     s.add_argument("--json", action="store_true")
-    sub.add_parser("prices")
+    sub.add_parser("prices").add_argument("--check", metavar="FILE", help="say whether FILE, written earlier, is still what the snapshots give")
     return top
 
 
@@ -51,6 +51,11 @@ def _written(path: str, text: str) -> None:
         f.write(text)
 
 
+def _holds(path: str, text: str) -> bool:
+    with open(path, "rb") as f:
+        return f.read() == text.encode()
+
+
 def costs(spark: SparkSession, a: argparse.Namespace) -> str:
     rep = check(scan(spark, Options(a.claude_dir, a.codex_dir, a.until, a.dedupe, not a.no_claude, not a.no_codex, a.anthropic_prices, a.openai_prices, a.command != "scan")))
     if a.command == "card":
@@ -94,7 +99,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "prices":
             from ..sources.prices import SnapshotA, SnapshotB, export_json
 
-            sys.stdout.write(export_json(SnapshotA.load(), SnapshotB.load()))
+            text = export_json(SnapshotA.load(), SnapshotB.load())
+            if not a.check:
+                sys.stdout.write(text)
+            elif not _holds(a.check, text):
+                raise Refusal("the price file is stale: write it anew")
             return 0
         until_of(a.until)
         session = spark or SparkSession.builder.appName("tallyforge").getOrCreate()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,14 @@ def flag(condition: Column) -> Column:
 # The context of a vendor-A call: all its input tokens.
 def context() -> Column:
     return or0("inp") + or0("cc") + or0("cr")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder of spark.checkpoint.dir: its plan ends there, and a lost executor loses none of it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyforge-"))
+    return df.checkpoint()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flag
+from .common import cut, flag
+from .spread import numbered, with_least
 
 TAIL_CHARS, PROMPT_CHARS = 500, 1500
 LABELS, UNKNOWN, SKIPPED = ("correction", "bug_report", "retry", "nudge", "new"), "unknown", ("retry", "nudge")
@@ -49,18 +50,19 @@ def copies(found: DataFrame) -> DataFrame:
 
     A uuid seen before makes a copy with the key of its first record; so does, between sessions, a key seen in an older one."""
     session = F.struct(F.col("last").isNull().alias("none"), F.col("last").alias("last"), F.col("path").alias("of"))
-    p = found.withColumn("session", session).withColumn("_u", F.coalesce("uuid", F.concat_ws("/", "path", F.col("idx").cast("string"), F.lit(""))))
-    by_uuid = Window.partitionBy("_u").orderBy("session", "idx")
-    again = F.row_number().over(by_uuid) > 1
-    p = p.withColumns({"again": again, "key": F.when(again, F.first("key").over(by_uuid)).otherwise(F.col("key"))})
-    older = F.min("session").over(Window.partitionBy("key")) < F.col("session")
-    return p.withColumn("copied", F.col("again") | older).drop("again", "_u")
+    here = F.struct("session", "idx")
+    p = with_least(cut(found.withColumn("session", session)), "uuid", F.struct("session", "idx", "key"), "_first")
+    again = F.col("_first").isNotNull() & (F.struct("_first.session", "_first.idx") < here)
+    p = p.withColumns({"again": again, "key": F.when(again, F.col("_first.key")).otherwise(F.col("key"))})
+    p = with_least(cut(p.drop("_first")), "key", F.col("session"), "_oldest")
+    return cut(p.withColumn("copied", F.col("again") | (F.col("_oldest") < F.col("session"))).drop("again", "_oldest"))
 
 
 def unique_prompts(marked: DataFrame) -> DataFrame:
     """The first occurrence of each key among prompts that are no copies."""
-    first = F.row_number().over(Window.partitionBy("key").orderBy("session", "idx"))
-    return marked.where("not copied").withColumn("_r", first).where("_r = 1").drop("_r")
+    others = [c for c in marked.columns if c not in ("key", "session", "idx")]
+    first = marked.where("not copied").groupBy("key").agg(F.min(F.struct("session", "idx", *others)).alias("_first"))
+    return first.select("key", "_first.*").select(*marked.columns)
 
 
 def labeled(marked: DataFrame, labels: DataFrame) -> DataFrame:
@@ -105,5 +107,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def key_rows(marked: DataFrame) -> DataFrame:
     """(key, session, index) of the first occurrence of every counted key, in order; sessions with prompts are numbered from 1."""
-    order = marked.select("path", "session").distinct().withColumn("number", F.row_number().over(Window.orderBy("session")))
-    return unique_prompts(marked).join(order.select("path", "number"), "path").select("key", F.col("number").alias("session"), F.col("idx").alias("index")).orderBy("session", "index")
+    sessions = numbered(cut(marked.groupBy("path").agg(F.min("session").alias("session"))), "session", "number")
+    first = unique_prompts(marked).join(sessions.select("path", "number"), "path")
+    return first.select("key", F.col("number").alias("session"), F.col("idx").alias("index")).orderBy("session", "index")
+
+
+def write_keys(marked: DataFrame, path: str) -> None:
+    """key_rows as JSON lines, written by the executors: the files' names are in the order of their rows. An existing path is refused."""
+    key_rows(marked).write.mode("errorifexists").json(path)

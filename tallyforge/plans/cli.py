@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from ..operators.gate import Withheld, check, clean
-from ..operators.streaks import Refusal, labeled, read_labels, tally
+from ..operators.streaks import Refusal, labeled, read_labels, tally, write_keys
 from ..sources.transcripts import until_of
 from . import render, streak_report
 from .scan import VERSION, Options, scan
@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--session", metavar="ID")
     s.add_argument("--client")
     s.add_argument("--print-keys", action="store_true")
+    s.add_argument("--keys-dir", metavar="DIR", help="with --print-keys: the executors write the keys to a new folder")
     s.add_argument("--out", metavar="FILE")
     s.add_argument("--json", action="store_true")
     sub.add_parser("prices").add_argument("--check", metavar="FILE", help="say whether FILE, written earlier, is still what the snapshots give")
@@ -78,6 +79,9 @@ def streaks(spark: SparkSession, a: argparse.Namespace) -> str:
         if a.classifier_id is not None and not streak_report.CLASSIFIER_ID.fullmatch(a.classifier_id):
             raise Refusal("--classifier-id uses letters, digits, and . _ : - (at most 80)")
     marked, failed = streak_report.collect(spark, a.claude_dir, a.until)
+    if a.print_keys and a.keys_dir:
+        write_keys(marked, a.keys_dir)
+        return ""
     if a.print_keys:
         text = streak_report.key_lines(marked)
         if a.out:

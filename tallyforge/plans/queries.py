@@ -592,6 +592,11 @@ def unique_prompts(spark, sf):
     return streaks.unique_prompts(_marked(spark, sf)).select("path", F.col("idx").cast("bigint").alias("idx"), "key")
 
 
+@query(f"with {_MARKED}, st as (select *, dense_rank() over (order by conv) as number from mk) select key, cast(number as bigint) as session, cast(idx as bigint) as index from st where not copied qualify row_number() over (partition by key order by conv, idx) = 1")
+def session_numbers(spark, sf):
+    return streaks.key_rows(_marked(spark, sf)).select("key", "session", F.col("index").cast("bigint").alias("index"))
+
+
 _LETTERS = "['correction', 'correction', 'correction', 'new', 'bug_report', 'retry', 'nudge', 'unknown']"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import attribution, audits, chunks, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
+from ..operators import attribution, audits, calculator, chunks, dedupe, gate, ledger, rent, replay, sessions_b, streaks, threads_a
 from ..operators.common import exact_unions, running
 from ..sources import prices as P
 from . import advice as A
@@ -307,6 +307,28 @@ def breakeven_rule(spark, sf):
     return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(replay.margin(b, life, s, w, r), 4).alias("margin"), replay.pays(b, life, s, w, r).alias("pays"), F.floor(replay.payback_calls(b, s, w, r) * 1000).alias("payback_milli"))
 
 
+_CHOICES = [*((m, t, False, w, r[3]) for m, r in P.SnapshotA.load().models.items() for t, w in (("5m", r[1]), ("1h", r[2]))), *((m, t, long, w, r[1]) for long, p in ((False, P.SnapshotB.load().models), (True, P.SnapshotB.load().long)) for m, r in p.items() for t, w in (("input", r[0]), ("write", r[2])) if w is not None)]
+_CHOSEN = sorted({c[0] for c in _CHOICES}) + ["unlisted"]
+
+
+@query(f"""with ch as (select * from (values {', '.join(f"('{m}', '{t}', {str(long).lower()}, {w!r}::double, {r!r}::double)" for m, t, long, w, r in _CHOICES)}) as v(model, rewrite, long, w, r)),
+sc as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, [{quoted(_CHOSEN)}][l_partkey % {len(_CHOSEN)} + 1] as model, ['5m', '1h', 'input', 'write'][l_linenumber % 4 + 1] as rewrite, l_suppkey % 2 = 0 as long, case when l_orderkey % 11 = 0 then null when l_orderkey % 13 = 0 then -l_quantity when l_orderkey % 7 = 0 then 0 else l_quantity * 200 end as b, l_extendedprice as s, l_linenumber - 1 as calls, case when l_linenumber = 1 then 1000.0::double else 1000000.0::double end as unit from lineitem),
+sw as (select *, long and exists (select 1 from ch where ch.model = sc.model and ch.long) as far, case when exists (select 1 from ch where ch.model = sc.model and ch.rewrite = sc.rewrite) then rewrite when model like 'claude%' then '5m' else 'input' end as how from sc),
+pr as (select sw.*, w, r, coalesce(b >= 0 and w is not null, false) as fit, b * calls * r / unit as saving, s * (w - r) / unit as cost from sw left join ch on ch.model = sw.model and ch.rewrite = sw.how and ch.long = sw.far)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, model, case when not fit then 'Enter values' when saving > cost then 'Pays' else 'Does not pay' end as verdict, cast(case when fit then floor((saving - cost) * 1000) end as bigint) as net_milli, cast(case when fit and b > 0 then floor(s / b * ((w - r) / r) * 1000) end as bigint) as payback_milli, fit and b = 0 as never from pr""")
+def calculator_verdicts(spark, sf):
+    name = calculator.register(spark)
+    cut_ = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    order = F.col("l_orderkey")
+    removed = F.when(order % 11 == 0, None).when(order % 13 == 0, -F.col("l_quantity")).when(order % 7 == 0, 0).otherwise(F.col("l_quantity") * 200)
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cut_(_CHOSEN, F.col("l_partkey") % len(_CHOSEN)).alias("model"), cut_(("5m", "1h", "input", "write"), F.col("l_linenumber") % 4).alias("rewrite"), (F.col("l_suppkey") % 2 == 0).alias("long"), removed.alias("removed"), F.col("l_extendedprice").alias("suffix"))
+    rows = calculator.priced(li, P.SnapshotA.load(), P.SnapshotB.load())
+    v = spark.sql(f"select *, {name}(removed, suffix, calls => l_linenumber - 1, write_price => write_price, read_price => read_price, unit => if(l_linenumber = 1, :first, 1000000.0D)) as v from {{rows}}", args={"first": 1000.0}, rows=rows)
+    whole = lambda c: F.floor(F.col(c) * 1000).cast("bigint")
+    never = F.coalesce(F.col("v.payback_calls") == float("inf"), F.lit(False))
+    return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model", "v.verdict", whole("v.net").alias("net_milli"), F.when(~never, whole("v.payback_calls")).alias("payback_milli"), never.alias("never"))
+
+
 # A replay as a recursion: a row for each batch of a thread, with the items that went in it and those gone so far.
 _THREADS = "tn as (select path, max(idx) as last from tl group by 1)"
 _LEASED = f"""select s.path, c.idx as call, s.gone, list(i.seq) as going, row_number() over (partition by s.path order by c.idx) as nth
@@ -551,6 +573,18 @@ def gate_violations(spark, sf):
     return gate.violations(a.unionByName(b))
 
 
+@query(f"""with l as (select doc_id, '$' as path, unnest(['doc', 'k' || source, 'n']) as key, null as value from documents union all select doc_id, '$.doc', unnest(['lang', 'source']), null from documents
+union all select doc_id, '$.doc.lang', null, lang from documents union all select doc_id, '$.doc.source', null, source from documents union all select doc_id, '$.k' || source || '[' || i || '].line', null, li[i + 1] from (select doc_id, source, string_split(text, chr(10)) as li, unnest(range(len(string_split(text, chr(10))))) as i from documents)
+union all select doc_id, '$.k' || source || '[' || unnest(range(len(string_split(text, chr(10))))) || ']', 'line', null from documents),
+r as (select *, case when key is not null then case when not regexp_matches(key, {quoted([gate.KEY])}) then 'unsafe key' else {_case_sql(L.DENY, 'key', 'null')} end when value is not null then case when not regexp_matches(value, {quoted([gate.VALUE])}) then 'unsafe value' else {_case_sql(L.DENY, 'value', 'null')} end end as reason from l)
+select doc_id, path, key, value, reason from r where reason is not null""")
+def nested_violations(spark, sf):
+    d = V.table(spark, sf, "documents")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line")))
+    result = F.map_from_arrays(F.array(F.lit("doc"), F.concat(F.lit("k"), "source"), F.lit("n")), F.array(F.to_variant_object(F.struct("lang", "source")), F.to_variant_object(lines), F.to_variant_object(F.array("n_chars"))))
+    return gate.violations(gate.flattened(d.select("doc_id", F.to_json(F.to_variant_object(result)).alias("result")), "result"))
+
+
 # ---- streaks
 
 _PROMPTS = """cv as (select cast(conv_id as varchar) as path, turn, role, text from conversations),

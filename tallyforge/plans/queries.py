@@ -286,20 +286,6 @@ def long_thread_lives(spark, sf):
 
 # ---- the rule and the replay
 
-_RATIO_ROWS = ", ".join([*(f"('{m}', '{t}', {w!r}::double, {r[3]!r}::double)" for m, r in P.SnapshotA.load().models.items() for t, w in (("5m", r[1]), ("1h", r[2]))), *(f"('{m}', '{t}', {w!r}::double, {r[1]!r}::double)" for m, r in P.SnapshotB.load().models.items() for t, w in (("rewrite_as_input", r[0]), ("rewrite_as_cache_write", r[2])) if w is not None)])
-
-
-@query(f"select model, tier, round((w - r) / r, 4) as ratio from (values {_RATIO_ROWS}) as v(model, tier, w, r)")
-def ratio_table(spark, sf):
-    rows = [(m, t, x) for table in (P.ratios_a(P.SnapshotA.load()), P.ratios_b(P.SnapshotB.load())) for m, r in table.items() for t, x in r.items() if x is not None]
-    return spark.createDataFrame(rows, "model string, tier string, ratio double")
-
-
-@query(f"select distinct round((w - r) / r, 4) as ratio from (values {_RATIO_ROWS}) as v(model, tier, w, r)")
-def ratio_set(spark, sf):
-    return ratio_table(spark, sf).select("ratio").distinct()
-
-
 @query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity * 200 * l_linenumber * 2.0 - l_extendedprice * (25.0 - 2.0), 4) as margin, l_quantity * 200 * l_linenumber * 2.0 - l_extendedprice * (25.0 - 2.0) > 0 as pays, cast(floor(l_extendedprice / (l_quantity * 200) * 11.5 * 1000) as bigint) as payback_milli from lineitem")
 def breakeven_rule(spark, sf):
     li = V.table(spark, sf, "lineitem")
@@ -311,24 +297,50 @@ _CHOICES = [*((m, t, False, w, r[3]) for m, r in P.SnapshotA.load().models.items
 _CHOSEN = sorted({c[0] for c in _CHOICES}) + ["unlisted"]
 
 
-@query(f"""with ch as (select * from (values {', '.join(f"('{m}', '{t}', {str(long).lower()}, {w!r}::double, {r!r}::double)" for m, t, long, w, r in _CHOICES)}) as v(model, rewrite, long, w, r)),
+def _scenarios(spark, sf):
+    """lineitem as questions to the calculator: every listed model, rewrite and length, and inputs that are null, negative or nothing."""
+    picked = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    order = F.col("l_orderkey")
+    removed = F.when(order % 11 == 0, None).when(order % 13 == 0, -F.col("l_quantity")).when(order % 7 == 0, 0).otherwise(F.col("l_quantity") * 200)
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", picked(_CHOSEN, F.col("l_partkey") % len(_CHOSEN)).alias("model"), picked(("5m", "1h", "input", "write"), F.col("l_linenumber") % 4).alias("rewrite"), (F.col("l_suppkey") % 2 == 0).alias("long"), removed.alias("removed"), F.col("l_extendedprice").alias("suffix"))
+    return calculator.priced(li, P.SnapshotA.load(), P.SnapshotB.load())
+
+
+_SCENARIOS = f"""ch as (select * from (values {', '.join(f"('{m}', '{t}', {str(long).lower()}, {w!r}::double, {r!r}::double)" for m, t, long, w, r in _CHOICES)}) as v(model, rewrite, long, w, r)),
 sc as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, [{quoted(_CHOSEN)}][l_partkey % {len(_CHOSEN)} + 1] as model, ['5m', '1h', 'input', 'write'][l_linenumber % 4 + 1] as rewrite, l_suppkey % 2 = 0 as long, case when l_orderkey % 11 = 0 then null when l_orderkey % 13 = 0 then -l_quantity when l_orderkey % 7 = 0 then 0 else l_quantity * 200 end as b, l_extendedprice as s, l_linenumber - 1 as calls, case when l_linenumber = 1 then 1000.0::double else 1000000.0::double end as unit from lineitem),
-sw as (select *, long and exists (select 1 from ch where ch.model = sc.model and ch.long) as far, case when exists (select 1 from ch where ch.model = sc.model and ch.rewrite = sc.rewrite) then rewrite when model like 'claude%' then '5m' else 'input' end as how from sc),
+sw as (select *, long and exists (select 1 from ch where ch.model = sc.model and ch.long) as far, case when exists (select 1 from ch where ch.model = sc.model and ch.rewrite = sc.rewrite) then rewrite when model like 'claude%' then '5m' else 'input' end as how from sc)"""
+
+
+@query(f"""with {_SCENARIOS},
 pr as (select sw.*, w, r, coalesce(b >= 0 and w is not null, false) as fit, b * calls * r / unit as saving, s * (w - r) / unit as cost from sw left join ch on ch.model = sw.model and ch.rewrite = sw.how and ch.long = sw.far)
 select l_orderkey, l_linenumber, l_partkey, l_suppkey, model, case when not fit then 'Enter values' when saving > cost then 'Pays' else 'Does not pay' end as verdict, cast(case when fit then floor((saving - cost) * 1000) end as bigint) as net_milli, cast(case when fit and b > 0 then floor(s / b * ((w - r) / r) * 1000) end as bigint) as payback_milli, fit and b = 0 as never from pr""")
 def calculator_verdicts(spark, sf):
     name = calculator.register(spark)
-    cut_ = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
-    order = F.col("l_orderkey")
-    removed = F.when(order % 11 == 0, None).when(order % 13 == 0, -F.col("l_quantity")).when(order % 7 == 0, 0).otherwise(F.col("l_quantity") * 200)
-    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cut_(_CHOSEN, F.col("l_partkey") % len(_CHOSEN)).alias("model"), cut_(("5m", "1h", "input", "write"), F.col("l_linenumber") % 4).alias("rewrite"), (F.col("l_suppkey") % 2 == 0).alias("long"), removed.alias("removed"), F.col("l_extendedprice").alias("suffix"))
-    rows = calculator.priced(li, P.SnapshotA.load(), P.SnapshotB.load())
+    rows = _scenarios(spark, sf)
     v = spark.sql(f"select *, {name}(removed, suffix, calls => l_linenumber - 1, write_price => write_price, read_price => read_price, unit => if(l_linenumber = 1, :first, 1000000.0D)) as v from {{rows}}", args={"first": 1000.0}, rows=rows)
     whole = lambda c: F.floor(F.col(c) * 1000).cast("bigint")
     never = F.coalesce(F.col("v.payback_calls") == float("inf"), F.lit(False))
     return v.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "model", "v.verdict", whole("v.net").alias("net_milli"), F.when(~never, whole("v.payback_calls")).alias("payback_milli"), never.alias("never"))
 
 
+_RATIOS = f"with {_SCENARIOS}, rt as (select sw.model, sw.how as rewrite, sw.far as long, round((w - r) / r, 4) as ratio from sw join ch on ch.model = sw.model and ch.rewrite = sw.how and ch.long = sw.far)"
+
+
+def _ratios(spark, sf):
+    rows = _scenarios(spark, sf).where("read_price is not null")
+    return rows.withColumn("ratio", F.round(replay.ratio(F.col("write_price"), F.col("read_price")), 4))
+
+
+@query(f"{_RATIOS} select model, ratio, count(*) as asked from rt group by 1, 2")
+def ratio_table(spark, sf):
+    return _ratios(spark, sf).groupBy("model", "ratio").agg(F.count(F.lit(1)).alias("asked"))
+
+
+@query(f"{_RATIOS} select distinct ratio from rt")
+def ratio_set(spark, sf):
+    return _ratios(spark, sf).select("ratio").distinct()
+
+
 # A replay as a recursion: a row for each batch of a thread, with the items that went in it and those gone so far.
 _THREADS = "tn as (select path, max(idx) as last from tl group by 1)"
 _LEASED = f"""select s.path, c.idx as call, s.gone, list(i.seq) as going, row_number() over (partition by s.path order by c.idx) as nth

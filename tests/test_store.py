@@ -30,7 +30,7 @@ def files(top):
     return {os.path.join(d, n) for d, _, names in os.walk(top) for n in names if not n.startswith((".", "_"))}
 
 
-@pytest.mark.parametrize("name", "source_calls_b source_cutoff_a source_estimates_a source_files_b source_items_a source_messages_b source_polls_b source_timeline_b source_tools_b".split())
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("source_")))
 def test_many_conversations(spark, many, name):
     """The files written do not grow with the conversations, and the rows are those of the SQL."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
